@@ -1,28 +1,14 @@
-"""All queries by name, each with the SQL that says the same."""
+"""All queries by name, and the SQL that says the same."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from spindrift.plans import board_queries, resolve_queries, state_queries, text_queries  # noqa: F401
+from spindrift.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def company_directory_open_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer with the number of its open orders, 0 where there is none."""
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    joined = customer.join(orders, customer.c_custkey == orders.o_custkey, "left")
-    return joined.select("c_custkey", "c_name", "c_mktsegment", F.coalesce("n", F.lit(0)).cast("bigint").alias("open_count"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"company_directory_open_counts": company_directory_open_counts}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "company_directory_open_counts": """
-SELECT c_custkey, c_name, c_mktsegment, CAST((SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS BIGINT) AS open_count FROM customer
-"""
-    }
+    return dict(SQL)
