@@ -14,7 +14,7 @@ def _has(c: Column, pattern: str) -> Column:
 
 def paid_status(c: Column) -> Column:
     s = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return F.when(_has(s, "award|scholarship|stipend"), "stipend").when(_has(s, "credit only|no pay|unpaid|volunteer"), "unpaid").when(_has(s, r"\$|hour|hr\b|paid|salary|wage"), "paid").otherwise("unknown")
+    return F.when(_has(s, "award|scholarship|stipend"), "stipend").when(_has(s, "credit only|no pay|unpaid|volunteer"), "unpaid").when(_has(s, r"\$|hour|hr(?![a-z0-9_])|paid|salary|wage"), "paid").otherwise("unknown")
 
 
 def _joined(*parts: Column) -> Column:

@@ -31,7 +31,8 @@ def prefill(text: Column) -> Column:
     title = first(lambda x: F.length(x).between(8, 90) & ~x.rlike("(?i)^https?://") & ~x.contains(":"))
     at = r"^(.{4,60}?)\s+at\s+([A-Z][A-Za-z0-9_&.,' -]{2,50})$"
     named = F.coalesce(title.rlike(at), F.lit(False))
-    found = {k: clean_text(F.regexp_extract(first(lambda x, p=p: x.rlike(f"(?i)^{p}.+$")), f"(?i)^{p}(.+)$", 1)) for k, p in LABELS.items()}
+    labelled = lambda p: clean_text(F.regexp_extract(first(lambda x: x.rlike(f"(?i)^{p}.+$")), f"(?i)^{p}(.+)$", 1))
+    found = {k: labelled(p) for k, p in LABELS.items()}
     due = first(lambda x: x.rlike("(?i)apply by|closes|deadline|due") & parse_deadline(x).isNotNull())
     length = F.regexp_extract(text, f"(?i){word('[0-9]+[ \\t]*(?:month|week)s?')}", 0)
     season = F.regexp_extract(text, f"(?i){word('(?:fall|spring|summer|winter)[ \\t]+20[0-9]{2}')}", 0)

@@ -52,6 +52,10 @@ def match_company(drafts: DataFrame, companies: DataFrame) -> DataFrame:
     return out.select("draft_id", F.when(F.col("exact"), "exact").when(F.col("score").isNotNull(), "fuzzy").otherwise("none").alias("kind"), "company_id", F.when(~F.col("exact"), F.col("score")).alias("score"))
 
 
+def tier_name(tier: Column) -> Column:
+    return F.when(tier == 1, "same_url").when(tier == 2, "strict_key").when(tier == 3, "family").when(tier == 4, "fuzzy")
+
+
 def match_opportunity(drafts: DataFrame, existing: DataFrame) -> DataFrame:
     """(draft_id, kind, opportunity_id, score): same_url > strict_key > family > fuzzy title in company > none.
 
@@ -69,7 +73,7 @@ def match_opportunity(drafts: DataFrame, existing: DataFrame) -> DataFrame:
     for t in tiers[1:]:
         every = every.unionByName(t)
     best = _first(every, "draft_id", F.col("tier"), F.desc("score"), F.col("e_id"))
-    kind = F.element_at(F.array(*map(F.lit, ("same_url", "strict_key", "family", "fuzzy"))), F.col("tier"))
+    kind = tier_name(F.col("tier"))
     return drafts.select("draft_id").join(best, "draft_id", "left").select("draft_id", F.coalesce(kind, F.lit("none")).alias("kind"), F.col("e_id").alias("opportunity_id"), F.when(F.col("tier") == 4, F.col("score")).alias("score"))
 
 

@@ -62,7 +62,7 @@ def board(df: DataFrame, term: str | None = None, sort: str = "relevance", paid:
 
 def bucket(deadline: Column, first_seen: Column, now: Column) -> Column:
     """closing (0 to 14 whole days left), else fresh (seen less than 7 days ago), else rest."""
-    fresh = F.unix_millis(now) - F.unix_millis(first_seen) < 7 * 86_400_000
+    fresh = F.unix_millis(now) - F.unix_millis(first_seen.cast("timestamp")) < 7 * 86_400_000
     return F.when(days_until(deadline, now).between(0, 14), "closing").when(fresh, "fresh").otherwise("rest")
 
 

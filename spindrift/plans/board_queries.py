@@ -65,7 +65,7 @@ def array_membership_filter(spark, sf_dir):
     return table(spark, sf_dir, "part").where(F.array_contains(F.split("p_name", " "), "red")).select("p_partkey", "p_name")
 
 
-@query("SELECT p_partkey, p_name, supplier_id FROM (SELECT p_partkey, p_name, CAST(p_partkey % 100 AS BIGINT) AS supplier_id FROM part) JOIN supplier ON supplier_id = s_suppkey AND s_acctbal > 0 WHERE p_size > 10")
+@query("SELECT p_partkey, p_name, supplier_id FROM (SELECT p_partkey, p_name, p_size, CAST(p_partkey % 100 AS BIGINT) AS supplier_id FROM part) JOIN supplier ON supplier_id = s_suppkey AND s_acctbal > 0 WHERE p_size > 10")
 def inner_pair_view(spark, sf_dir):
     p = table(spark, sf_dir, "part").where("p_size > 10").select("p_partkey", "p_name", F.expr("p_partkey % 100").cast("bigint").alias("supplier_id"))
     s = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey")

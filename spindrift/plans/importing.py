@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.score import curated_score
 from spindrift.operators.merge import FLAGGED, changed_flagged, update_policy
-from spindrift.operators.resolve import COMPANY_LEAST, match_opportunity, similar_names
+from spindrift.functions.similarity import dice
+from spindrift.operators.resolve import COMPANY_LEAST, TITLE_LEAST, match_opportunity, similar_names, tier_name
+from spindrift.session import materialize
 
 
 @dataclass
@@ -71,14 +73,15 @@ def import_csv(drafts: DataFrame, companies: DataFrame, opportunities: DataFrame
     ones can see is decided by two windows instead of a walk. opportunities: id, dedupe_key, family_key, posting_url,
     title, company_id, review_status, public_safe and the flagged fields; ids are text.
     """
-    resolved = resolve_companies(drafts, companies)
+    drafts = materialize(drafts, "drafts")  # each cell is parsed once; the plans below read it many times
+    resolved = materialize(resolve_companies(drafts, companies), "companies")
     good = drafts.where("error is null").join(resolved.select("company_key", "company_id", F.col("kind").alias("company_kind"), "first_row"), "company_key")
     first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy("row_number")) == 1
     urls = opportunities.where("posting_url is not null").select(F.col("posting_url").alias("__u")).distinct()
     keys = opportunities.where("dedupe_key is not null").select(F.col("dedupe_key").alias("__k")).distinct()
     seen = good.join(urls, F.col("posting_url") == F.col("__u"), "left").join(keys, F.col("dedupe_key") == F.col("__k"), "left")
     new = F.col("__u").isNull() & F.col("__k").isNull() & (F.col("posting_url").isNull() | first("posting_url")) & first("dedupe_key")
-    good = seen.withColumn("is_new", new).drop("__u", "__k")
+    good = materialize(seen.withColumn("is_new", new).drop("__u", "__k"), "good")
     new_id = F.sha2(F.concat(F.lit("opportunity|"), "dedupe_key"), 256)
     mine = good.where("is_new").select(new_id.alias("id"), "posting_url", "dedupe_key", "family_key", "title", "company_id", F.col("row_number").alias("born"))
     theirs = opportunities.select("id", "posting_url", "dedupe_key", "family_key", "title", "company_id", F.lit(0).alias("born"))
@@ -90,7 +93,7 @@ def import_csv(drafts: DataFrame, companies: DataFrame, opportunities: DataFrame
     later = (order("kind2") < order("kind")) | ((F.col("kind") == "fuzzy") & (F.col("kind2") == "fuzzy") & (F.col("score2") > F.col("score")))
     match = both.select(F.col("draft_id").alias("row_number"), F.when(later, F.col("kind2")).otherwise(F.col("kind")).alias("match"), F.when(later, F.col("opportunity_id2")).otherwise(F.col("opportunity_id")).alias("matched_id"))
     score = curated_score(F.col("deadline"), F.col("deadline_text"), F.col("paid_status"), F.col("location"), F.col("eligibility"), F.col("focus_area"), F.col("posting_url"), now)
-    rows = good.join(match, "row_number").withColumn("relevance", score)
+    rows = materialize(good.join(match, "row_number").withColumn("relevance", score), "rows")
     e = opportunities.select(F.col("id").alias("__id"), F.struct(*[c for c in opportunities.columns if c != "id"]).alias("e"))
     known = rows.where("match in ('same_url', 'strict_key')").join(e, F.col("matched_id") == F.col("__id"), "left")
     policy = F.when(F.col("e").isNull(), "update_fields").otherwise(update_policy(F.col("e.review_status"), F.col("e.public_safe")))
@@ -113,9 +116,6 @@ def import_csv(drafts: DataFrame, companies: DataFrame, opportunities: DataFrame
 
 def match_opportunity_before(wanted: DataFrame, mine: DataFrame) -> DataFrame:
     """``match_opportunity`` of each row against inserted rows of the same file that come before it; the earliest stands first."""
-    from spindrift.functions.similarity import dice
-    from spindrift.operators.resolve import TITLE_LEAST
-
     m = mine.select(*[F.col(c).alias(f"m_{c}") for c in mine.columns])
     tiers = []
     for rank, key in enumerate(("posting_url", "dedupe_key", "family_key"), 1):
@@ -125,5 +125,5 @@ def match_opportunity_before(wanted: DataFrame, mine: DataFrame) -> DataFrame:
     for t in tiers:
         every = every.unionByName(t)
     best = every.withColumn("rn", F.row_number().over(Window.partitionBy("draft_id").orderBy("tier", F.desc("score"), "m_born"))).where("rn = 1")
-    kind = F.element_at(F.array(*map(F.lit, ("same_url", "strict_key", "family", "fuzzy"))), F.col("tier"))
+    kind = tier_name(F.col("tier"))
     return wanted.select("draft_id").join(best, "draft_id", "left").select("draft_id", F.coalesce(kind, F.lit("none")).alias("kind"), F.col("m_id").alias("opportunity_id"), F.when(F.col("tier") == 4, F.col("score")).alias("score"))

@@ -50,7 +50,7 @@ def bridge(postings: DataFrame, opportunities: DataFrame) -> DataFrame:
     action = F.when(touch, "touch").when(exact, "update").when(F.col("kind") == "none", "insert").otherwise("link")
     task = F.when(touch & (F.size(changed) > 0), "changed_fields").when(F.col("kind") == "family", "possible_repost").when(F.col("kind") == "fuzzy", "possible_duplicate")
     created = F.sha2(F.concat(F.lit("opportunity|"), "dedupe_key"), 256)
-    return j.select("identity_key", action.alias("action"), F.coalesce("opportunity_id", created).alias("opportunity_id"), F.when(touch, changed).alias("changed"), task.alias("task"))
+    return j.select("identity_key", action.alias("action"), F.coalesce(F.col("opportunity_id").cast("string"), created).alias("opportunity_id"), F.when(touch, changed).alias("changed"), task.alias("task"))
 
 
 def may_resume(status: Column, error_class: Column, log: Column) -> Column:
