@@ -1,50 +1,23 @@
-"""Helpers shared by the corpus operators: shared-folder tables, positional columns, components."""
+"""Helpers shared by the corpus operators: batches, positional columns, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
+from spindrift.session import materialize, release, shared_path  # noqa: F401
 
+#: Rows of text that go to Python at once: texts may be long, and a batch is held several times on its way.
+TEXT_ROWS = 500
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can read: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (local tests) a temporary folder is made, once an application.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN_DIRS:
-            _OWN_DIRS[app] = tempfile.mkdtemp(prefix="spindrift-")
-        folder = _OWN_DIRS[app]
-    return folder.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/spindrift-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
-
-    Cuts the lineage, survives the loss of executors, and makes what was computed stable for later passes.
-    """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table that this application left in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spindrift-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def text_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session, so that memory doesn't depend on how long texts are."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
 
 
 def pick(df: DataFrame, **names: str) -> DataFrame:

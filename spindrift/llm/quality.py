@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import Positional, pick
+from spindrift.llm._common import Positional, pick, text_batches
 
 #: Bound of the labelled rows of each class that a model is fitted to.
 SAMPLE_PER_CLASS = 3000
@@ -193,6 +193,7 @@ def fit_tables(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_C
 
 
 def _scorer(spark: SparkSession, model: Model):
+    text_batches(spark)
     shared = spark.sparkContext.broadcast((model.scaled.astype(np.float32), model.squared.astype(np.float32), model.bias))
 
     @F.pandas_udf("double")

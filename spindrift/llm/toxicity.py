@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import Positional, pick
+from spindrift.llm._common import Positional, pick, text_batches
 from spindrift.llm.quality import sample_labels, split, unlike
 
 #: Bound of the labelled rows of each class that a model is fitted to.
@@ -366,6 +366,7 @@ def fit_tables(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_C
 
 
 def _scorer(spark: SparkSession, model: Model):
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<score double, windows bigint>")
