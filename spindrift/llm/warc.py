@@ -338,7 +338,8 @@ class WarcDataSource(DataSource):
 
     All headers are in ``headers`` (names in lower case, the last of several counts); http_status, http_headers and
     payload are what a block holds, by its declared character set, undecodable bytes as U+FFFD. With ``payload`` off
-    blocks are passed over. A null URL, an absent header and a null page read back as null, an empty page as ''.
+    blocks are passed over. Load anew for each set of filters: Spark keeps what was pushed with a loaded frame, also when
+    that frame is then read without a filter. A null URL, an absent header and a null page read back as null, an empty page as ''.
     """
 
     @classmethod
