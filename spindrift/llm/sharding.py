@@ -90,5 +90,5 @@ def shard(df: DataFrame, key_col: str = "source", id_col: str = "doc_id", text_c
     p = Positional(df)
     keyed = p.df.withColumn("__k", _order_key(p.col(key_col), p.col(id_col)))
     keyed = keyed.withColumn("shard", _place(df.sparkSession, marks)("__k"))
-    spread = keyed.repartition(max(1, len(marks) + 1), "shard").sortWithinPartitions("shard", "__k")
+    spread = keyed.repartitionById(len(marks) + 1, "shard").sortWithinPartitions("__k")  # one shard, one partition
     return p.restore(spread, ["shard"])
