@@ -66,3 +66,18 @@ def decide(rows: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
         "duplicate_of": F.when(twin, F.col("__of")).otherwise(F.col("duplicate_of")),
     })
     return out.select(*rows.columns)
+
+
+def create_pending(table: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of ``new`` whose dedupe_key ``table`` hasn't, one a key, always unreviewed and out of sight, whatever they said."""
+    forced = new.withColumns({"status": F.lit("needs_review"), "review_status": F.lit("pending"), "public_safe": F.lit(False)})
+    w = Window.partitionBy("dedupe_key").orderBy(*[c for c in new.columns if c != "dedupe_key"])
+    firsts = forced.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    return firsts.join(table.select("dedupe_key"), "dedupe_key", "left_anti").select(*new.columns)
+
+
+def quick_add(matches: DataFrame) -> DataFrame:
+    """What adding single listings by hand does, from their matches (draft_id, kind, opportunity_id): an exact match is an
+    error, a family or fuzzy one inserts and flags, none inserts."""
+    exact = F.col("kind").isin("same_url", "strict_key")
+    return matches.select("draft_id", F.when(exact, "error").otherwise("insert").alias("action"), F.when(F.col("kind") == "family", "possible_repost").when(F.col("kind") == "fuzzy", "possible_duplicate").alias("task"), F.when(exact, F.col("opportunity_id")).alias("existing_id"))

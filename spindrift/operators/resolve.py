@@ -157,3 +157,18 @@ def fuzzy_clusters(rows: DataFrame, least: float = TITLE_LEAST) -> DataFrame:
         return pdf.merge(pdf.__class__(keep, columns=["id", "other"]), on=["id", "other"])[["id", "other", "score"]]
 
     return pairs.groupBy("company").applyInPandas(greedy, f"id {dict(rows.dtypes)['id']}, other {dict(rows.dtypes)['id']}, score double")
+
+
+def feed_company(postings: DataFrame, job_sources: DataFrame, companies: DataFrame) -> DataFrame:
+    """(identity_key, company_id, kind): the source's own company, else the employer's by exact or fuzzy name.
+
+    kind is source, exact, fuzzy (to be flagged), new (an employer of 3 letters and more that is no one's) or none.
+    postings: identity_key, job_source_id, employer; job_sources: id, company_id; companies: id, name; names normalized.
+    """
+    s = job_sources.join(companies.select(F.col("id").alias("__c")), F.col("company_id") == F.col("__c")).select(F.col("id").alias("__s"), "company_id")
+    own = postings.join(s, F.col("job_source_id") == F.col("__s"), "left").select("identity_key", "employer", F.col("company_id").alias("own_id"))
+    drafts = own.where("own_id is null and employer <> ''").select(F.col("identity_key").alias("draft_id"), F.col("employer").alias("name"))
+    found = match_company(drafts, companies).select(F.col("draft_id").alias("__d"), "kind", "company_id")
+    j = own.join(found, F.col("identity_key") == F.col("__d"), "left")
+    kind = F.when(F.col("own_id").isNotNull(), "source").when(F.col("kind").isin("exact", "fuzzy"), F.col("kind")).when(F.length("employer") >= 3, "new").otherwise("none")
+    return j.select("identity_key", F.coalesce("own_id", "company_id").alias("company_id"), kind.alias("kind"))

@@ -23,3 +23,10 @@ def references(df: DataFrame, name: str, column: str, parent: DataFrame, parent_
     """(rule, violations): values without a parent row; null passes."""
     keys = parent.select(F.col(parent_key).alias("__k"))
     return df.where(F.col(column).isNotNull()).join(keys, F.col(column) == F.col("__k"), "left_anti").agg(F.count("*").alias("violations")).select(F.lit(name).alias("rule"), "violations")
+
+
+def append_only(before: DataFrame, after: DataFrame, name: str, key: str) -> DataFrame:
+    """(rule, violations): rows of a history that a later version of it changed or lost."""
+    kept = [c for c in before.columns if c != key]
+    old, new = before.select(key, F.xxhash64(*kept).alias("__h")), after.select(key, F.xxhash64(*kept).alias("__h"))
+    return old.join(new, [key, "__h"], "left_anti").agg(F.count("*").alias("violations")).select(F.lit(name).alias("rule"), "violations")

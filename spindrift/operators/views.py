@@ -73,3 +73,25 @@ def claim(runs: DataFrame, sources: DataFrame, now: Column, limit: int = 1) -> D
     s = sources.where("enabled").select(F.col("id").alias("__s"), F.col("priority").alias("__p"))
     due = runs.where((F.col("status") == "queued") & (F.col("scheduled_for") <= now))
     return due.join(s, F.col("job_source_id") == F.col("__s")).orderBy("__p", "scheduled_for", "created_at", "id").limit(limit).drop("__s", "__p").withColumns({"status": F.lit("running"), "started_at": now})
+
+
+def embed(df: DataFrame, other: DataFrame, key: str, name: str, *columns: str) -> DataFrame:
+    """``df`` with the row of ``other`` that its foreign key names as a struct, null where there is none."""
+    o = other.select(F.col("id").alias("__e"), F.struct(*columns).alias(name))
+    return df.join(o, F.col(key) == F.col("__e"), "left").drop("__e")
+
+
+def maybe_single(df: DataFrame) -> dict | None:
+    """The only row, or None; more than one is an error. Looks at two rows at most."""
+    rows = df.limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("more than one row")
+    return rows[0].asDict() if rows else None
+
+
+def single(df: DataFrame) -> dict:
+    """The only row; none or more than one is an error."""
+    row = maybe_single(df)
+    if row is None:
+        raise ValueError("no row")
+    return row

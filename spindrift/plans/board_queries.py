@@ -195,3 +195,17 @@ def exists_semi(spark, sf_dir):
 def embedded_rows(spark, sf_dir):
     rows = F.array_sort(F.collect_list(F.struct("turn", "role")))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(rows, lambda r: r["role"]), ">").alias("roles"))
+
+
+@query("SELECT o_orderkey, c_name AS company, c_mktsegment AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0 WHERE o_orderkey % 10 = 0")
+def embedded_company(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), "c_name", "c_mktsegment")
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey")
+    e = views.embed(o, c, "o_custkey", "companies", "c_name", "c_mktsegment")
+    return e.select("o_orderkey", F.col("companies.c_name").alias("company"), F.col("companies.c_mktsegment").alias("segment"))
+
+
+@query("SELECT e.event_type, (SELECT count(*) FROM events) AS total, count(*) AS n FROM events e GROUP BY e.event_type")
+def count_only_scan(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type")
+    return e.groupBy("event_type").agg(F.count("*").alias("n")).crossJoin(e.agg(F.count("*").alias("total")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.functions.similarity import dice
+from spindrift.functions.text import clean_text
 from spindrift.operators import resolve
 from spindrift.plans.registry import query, table
 
@@ -95,8 +96,21 @@ def duplicate_clusters_fuzzy(spark, sf_dir):
 
 @query("SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k, min(doc_id) AS first_doc, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY k HAVING count(*) > 1")
 def exact_text_groups(spark, sf_dir):
-    """Documents that are the same but for case and white space; the key's hash is shuffled, not the text."""
-    from spindrift.functions.text import clean_text
-
+    """Documents that are the same but for case and white space; hashes are shuffled, and the text of groups' first ones."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce(clean_text(F.col("text")), F.lit(""))).alias("k"))
-    return d.groupBy(F.sha2("k", 256).alias("h")).agg(F.first("k").alias("k"), F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1").drop("h")
+    groups = d.groupBy(F.sha2("k", 256).alias("h")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
+    return groups.join(d, F.col("first_doc") == F.col("doc_id")).select("k", "first_doc", "n")
+
+
+_FEEDROWS = "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 1 WHEN p_partkey % 4 = 1 THEN 2 END AS job_source_id, CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'ab' WHEN 2 THEN p_name || ' laboratory' WHEN 3 THEN 'zzzz qqqq' ELSE p_name || ' laboratories' END AS employer FROM part WHERE p_partkey < 300"
+
+
+@query(f"""WITH d AS ({_FEEDROWS}), c AS ({_KNOWN}), h AS (SELECT p_partkey, id, employer = name AS exact, {_ZERO('employer', 'name')} AS score FROM d JOIN c ON employer IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY exact DESC, score DESC, id) AS rn FROM h WHERE score >= 0.85)
+SELECT d.p_partkey AS identity_key, CASE WHEN job_source_id = 1 THEN (SELECT min(id) FROM c) ELSE r.id END AS company_id, CASE WHEN job_source_id = 1 THEN 'source' WHEN exact THEN 'exact' WHEN r.id IS NOT NULL THEN 'fuzzy' WHEN length(employer) >= 3 THEN 'new' ELSE 'none' END AS kind FROM d LEFT JOIN r ON d.p_partkey = r.p_partkey AND rn = 1""")
+def feed_company_resolution(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    c = p.where("p_partkey % 2 = 0").groupBy("p_name").agg(F.min("p_partkey").alias("id")).select("id", F.concat("p_name", F.lit(" laboratories")).alias("name"))
+    sources = c.agg(F.min("id").alias("company_id")).select(F.lit(1).alias("id"), "company_id").unionByName(spark.range(1).select(F.lit(2).alias("id"), F.lit(-5).cast("bigint").alias("company_id")))
+    rows = p.where("p_partkey < 300").select(F.col("p_partkey").alias("identity_key"), F.expr("case when p_partkey % 4 = 0 then 1 when p_partkey % 4 = 1 then 2 end").alias("job_source_id"), F.expr("case p_partkey % 7 when 0 then null when 1 then 'ab' when 2 then p_name || ' laboratory' when 3 then 'zzzz qqqq' else p_name || ' laboratories' end").alias("employer"))
+    return resolve.feed_company(rows, sources, c)

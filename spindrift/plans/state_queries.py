@@ -161,3 +161,24 @@ def feed_bridge(spark, sf_dir):
     o = o.withColumns({"dedupe_key": F.concat_ws("|", F.concat(F.lit("c"), "company_id"), "title", "posting_url"), "family_key": F.concat_ws("|", F.concat(F.lit("c"), "company_id"), "title"), "application_type": F.lit(None).cast("string"), "source_status_raw": F.lit("open")})
     p = o.where("id % 10 = 0").select(F.concat(F.lit("k"), "id").alias("identity_key"), F.concat(F.lit("c"), "company_id").alias("employer"), F.expr("case when id % 20 = 0 then title || ' II' else title end").alias("title"), F.expr("case when id % 30 = 0 then null else posting_url end").alias("canonical_url"), "company_id", *[c for c in merge.FLAGGED if c not in ("title", "posting_url")])
     return bridge(p, o)
+
+
+@query("SELECT 'history' AS rule, count(*) AS violations FROM orders WHERE o_orderkey % 50 = 0 OR (o_orderkey % 30 = 0 AND o_orderstatus <> 'X')")
+def append_only_check(spark, sf_dir):
+    before = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    after = before.where("o_orderkey % 50 <> 0").withColumn("o_orderstatus", F.expr("case when o_orderkey % 30 = 0 then 'X' else o_orderstatus end"))
+    return validate.append_only(before, after, "history", "o_orderkey")
+
+
+@query("SELECT DISTINCT 'n' || CAST(o_custkey AS VARCHAR) AS dedupe_key, 'needs_review' AS status, 'pending' AS review_status, false AS public_safe FROM orders WHERE o_custkey % 3 <> 0")
+def create_pending_opportunity(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    have = o.where("o_custkey % 3 = 0").select(F.expr("'n' || o_custkey").alias("dedupe_key"))
+    new = o.select(F.expr("'n' || o_custkey").alias("dedupe_key"), F.lit("open_verified").alias("status"), F.lit("approved").alias("review_status"), F.lit(True).alias("public_safe"))
+    return merge.create_pending(have, new)
+
+
+@query("SELECT c_custkey AS draft_id, CASE WHEN c_custkey % 5 IN (0, 1) THEN 'error' ELSE 'insert' END AS action, CASE c_custkey % 5 WHEN 2 THEN 'possible_repost' WHEN 3 THEN 'possible_duplicate' END AS task, CASE WHEN c_custkey % 5 IN (0, 1) THEN c_custkey + 7 END AS existing_id FROM customer")
+def quick_add_outcomes(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return merge.quick_add(c.select(F.col("c_custkey").alias("draft_id"), F.expr("element_at(array('same_url', 'strict_key', 'family', 'fuzzy', 'none'), cast(c_custkey % 5 + 1 as int))").alias("kind"), (F.col("c_custkey") + 7).alias("opportunity_id")))

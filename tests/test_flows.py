@@ -235,3 +235,18 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 3
     forms = spark.createDataFrame([("http://a", None), ("ftp://a", None), ("https://b", "bot")], "link string, trap string")
     assert sinks.submissions(forms).count() == 1
+
+
+def test_lookups(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string")
+    assert views.maybe_single(df.where("k = 1")) == {"k": 1, "v": "a"} == views.single(df.where("k = 1")) and views.maybe_single(df.where("k = 9")) is None
+    for bad in ("k = 2", "k = 9"):
+        with pytest.raises(ValueError):
+            views.single(df.where(bad))
+
+
+def test_officer_decisions_keep_notes(spark):
+    rows = spark.createDataFrame([(1, "expired", "needs_review", False, None, None, None)], "id int, status string, review_status string, public_safe boolean, review_notes string, last_checked_at timestamp, duplicate_of int")
+    d = spark.createDataFrame([(1, "approve", "open_verified", None, " ok ")], "id int, action string, target_status string, duplicate_of int, notes string")
+    r = merge.decide(rows, d, now()).first()
+    assert (r["status"], r["review_status"], r["public_safe"], r["review_notes"]) == ("open_verified", "approved", True, "ok") and r["last_checked_at"] is not None
