@@ -99,7 +99,7 @@ def fit_features(rows: list[np.ndarray], y: np.ndarray, c: float = 1.0, epochs:
     for f, label in zip(rows, y):
         (p if label > 0 else q)[f] += 1
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    x = [ratio[f] / np.sqrt((ratio[f] ** 2).sum() + 1e-12) for f in rows]
+    x = [(ratio[f] / np.sqrt((ratio[f] ** 2).sum() + 1e-12)).astype(np.float32) for f in rows]
     w, bias, alpha = np.zeros(_SIZE), 0.0, np.zeros(len(y))
     norm = np.array([float(v @ v) + 1.0 for v in x])  # 1 is the bias
     rng = np.random.default_rng(seed)
@@ -127,7 +127,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model | None:
     first = unlike(texts)
     if len(set(y[first])) == 2:
         texts, y = [texts[i] for i in first], y[first]
-    rows = [features(t, flags) for t in texts]
+    rows = [features(t, flags).astype(np.int32) for t in texts]
     held = np.arange(len(y)) % 5 == 4
     if (y[~held] == y[~held][0]).all() or not held.any():
         held[:] = False

@@ -27,7 +27,7 @@ from spindrift.llm._common import Positional, components, materialize, pick
 
 BITS, SEGMENTS, RADIUS, PREFIX_BITS = 128, 9, 17, 5
 _WORD = re.compile(r"[^\W_]+")
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 100_000
 #: (first bit, width) of each segment: two of 15 bits, seven of 14.
 LAYOUT = [(sum(15 if j < 2 else 14 for j in range(i)), 15 if i < 2 else 14) for i in range(SEGMENTS)]
 _POWERS = (1 << np.arange(7, -1, -1)).astype(np.uint8)

@@ -22,7 +22,7 @@ from spindrift.llm.quality import sample_labels, split, unlike
 #: Bound of the labelled rows of each class that a model is fitted to.
 SAMPLE_PER_CLASS = 2500
 WINDOW, STRIDE, HIDDEN, WIDTH, ATTENTION = 32, 24, 8, 6, 8
-LOG_GRAMS, MOST_WORDS, CACHE_WORDS = 18, 20_000, 200_000
+LOG_GRAMS, MOST_WORDS, CACHE_WORDS = 18, 20_000, 100_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F], np.uint64)
 _WORD = re.compile(r"[^\W_]+")
 
