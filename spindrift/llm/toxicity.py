@@ -242,7 +242,7 @@ class _Trainer:
         self.index: dict[str, int] = {}
         self.texts = [np.fromiter((self.index.setdefault(w, len(self.index)) for w in ws), np.int64, len(ws)) for ws in lists]
         self.names = list(self.index)
-        parts = [grams_of(self.names[i : i + 20_000]) for i in range(0, len(self.names), 20_000)]
+        parts = [(p.astype(np.int32), n) for p, n in (grams_of(self.names[i : i + 20_000]) for i in range(0, len(self.names), 20_000))]
         self.places = np.concatenate([p for p, _ in parts])
         self.count = np.concatenate([n for _, n in parts])
         self.first = np.cumsum(self.count) - self.count
@@ -251,6 +251,15 @@ class _Trainer:
         n = self.count[words]
         return self.places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[words], n)]
 
+    def strongest(self, value: np.ndarray) -> np.ndarray:
+        """The greatest value that any n-gram of each word has, some words at a time."""
+        out = np.empty(len(self.names))
+        for i in range(0, len(out), 20_000):
+            n = self.count[i : i + 20_000]
+            at = self.first[i]
+            out[i : i + 20_000] = np.maximum.reduceat(value[self.places[at : at + n.sum()]], np.cumsum(n) - n)
+        return out
+
     def batch(self, model: Model, part: list[tuple[int, int]]):
         """(x, mask, what ``spread`` needs) of windows (text, start)."""
         at = np.full((len(part), WINDOW), -1)
@@ -320,7 +329,7 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 300, seed: int = 11)
     net = model.network
     net.w = {k: v.astype(np.float32) for k, v in net.w.items()}
 
-    evidence = np.maximum(zw, np.maximum.reduceat(zg[t.places], t.first))
+    evidence = np.maximum(zw, t.strongest(zg))
     cut = [(i, int(s)) for i, own in enumerate(t.texts) for s in window_starts(len(own))]
     owner = np.array([i for i, _ in cut])
     worth = np.array([evidence[t.texts[i][s : s + WINDOW]].max() for i, s in cut])
@@ -335,9 +344,9 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 300, seed: int = 11)
     half, (bad, likely, clean) = 48, choose()
     for step in range(1, steps + 1):
         if step == steps // 2:
-            for lo in range(0, len(cut), 2048):
-                x, mask, _ = t.batch(model, cut[lo : lo + 2048])
-                worth[lo : lo + 2048] = net.forward(x, mask)[0]
+            for lo in range(0, len(cut), 512):
+                x, mask, _ = t.batch(model, cut[lo : lo + 512])
+                worth[lo : lo + 512] = net.forward(x, mask)[0]
             bad, likely, clean = choose()
         good = np.where(r.random(half) < 0.5, r.choice(likely, half), r.choice(clean, half))
         x, mask, used = t.batch(model, [cut[i] for i in np.concatenate([r.choice(bad, half), good])])
