@@ -67,7 +67,9 @@ def match_opportunity(drafts: DataFrame, existing: DataFrame) -> DataFrame:
     for rank, key in enumerate(("posting_url", "dedupe_key", "family_key"), 1):
         firsts = e.where(f"e_{key} is not null").groupBy(f"e_{key}").agg(F.min("e_id").alias("e_id"))
         tiers.append(drafts.join(firsts, F.col(key) == F.col(f"e_{key}")).select("draft_id", "e_id", F.lit(rank).alias("tier"), F.lit(1.0).alias("score")))
-    fuzzy = drafts.join(e, F.col("company_id") == F.col("e_company_id")).withColumn("score", dice(F.lower("title"), F.lower("e_title"))).where(F.col("score") >= TITLE_LEAST)
+    # distinct titles are compared, not rows; rows then meet by company and title
+    alike = similar_names(drafts.select(F.lower("title").alias("name")), e.select(F.lower("e_title").alias("name")), TITLE_LEAST)
+    fuzzy = drafts.join(alike, F.lower("title") == F.col("l")).join(e, (F.col("company_id") == F.col("e_company_id")) & (F.lower("e_title") == F.col("r")))
     tiers.append(fuzzy.select("draft_id", "e_id", F.lit(4).alias("tier"), "score"))
     every = tiers[0]
     for t in tiers[1:]:
@@ -95,12 +97,14 @@ def assess_duplicates(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     named_c, named_p = c.where("c_employer <> '' and c_title <> ''"), p.where("p_employer <> '' and p_title <> ''")
     alike = similar_names(named_c.select(F.col("c_employer").alias("name")), named_p.select(F.col("p_employer").alias("name")), FEED_LEAST)
     alike = alike.select(F.col("l").alias("c_employer"), F.col("r").alias("p_employer"), F.col("score").alias("employer_score"))
-    pairs = named_c.join(alike, "c_employer").join(named_p, "p_employer")
-    title_score = dice(F.col("c_title"), F.col("p_title"))
-    probable = pairs.where(F.col("c_location").eqNullSafe(F.col("p_location"))).withColumn("ts", title_score).where(F.col("ts") >= FEED_LEAST)
+    # distinct names and titles are compared, not rows; rows then meet by employer and title
+    pair = lambda x, y: similar_names(named_c.select(x.alias("name")), named_p.select(y.alias("name")), FEED_LEAST)
+    titles = pair(F.col("c_title"), F.col("p_title")).select(F.col("l").alias("c_title"), F.col("r").alias("p_title"), F.col("score").alias("ts"))
+    probable = named_c.join(alike, "c_employer").join(titles, "c_title").join(named_p, ["p_employer", "p_title"]).where(F.col("c_location").eqNullSafe(F.col("p_location")))
     probable = probable.withColumns({"tier": F.lit(3), "conf": F.least(F.lit(0.9), (F.col("employer_score") + F.col("ts")) / 2 + 0.05)})
-    cf, pf = family_of(F.col("c_title")), family_of(F.col("p_title"))
-    annual = pairs.where((F.col("c_title") != F.col("p_title")) & ((cf != F.col("c_title")) | (pf != F.col("p_title"))) & F.coalesce(F.col("c_location") == F.col("p_location"), F.lit(True)) & (dice(cf, pf) >= FEED_LEAST))
+    families = pair(family_of(F.col("c_title")), family_of(F.col("p_title"))).select(F.col("l").alias("cf"), F.col("r").alias("pf"))
+    annual = named_c.withColumn("cf", family_of(F.col("c_title"))).join(alike, "c_employer").join(families, "cf").join(named_p.withColumn("pf", family_of(F.col("p_title"))), ["p_employer", "pf"])
+    annual = annual.where((F.col("c_title") != F.col("p_title")) & ((F.col("cf") != F.col("c_title")) | (F.col("pf") != F.col("p_title"))) & F.coalesce(F.col("c_location") == F.col("p_location"), F.lit(True)))
     annual = annual.withColumns({"tier": F.lit(4), "conf": F.lit(0.6)})
     columns = [*[f"c_{x}" for x in _FIELDS], *[f"p_{x}" for x in _FIELDS], "tier", "conf"]
     hits = by_id.select(*columns).unionByName(by_url.select(*columns)).unionByName(probable.select(*columns)).unionByName(annual.select(*columns))
