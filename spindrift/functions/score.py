@@ -149,7 +149,7 @@ def feed_score(title_raw: Column, title: Column, location: Column, department: C
         _reason(some, "seniority", -15, q('moderate seniority signal in title: "', title_raw)),
         _reason(degree, "degree_req", -20, lit("PhD, MD, or postdoc credential required")),
         _reason(masters, "degree_req", -8, lit("master's degree preferred or required")),
-        _reason(dept.rlike(UNRELATED) | depts.rlike(UNRELATED), "unrelated_dept", -20, q('department not relevant to biotech career hub: "', shown)),
+        _reason(dept.rlike(UNRELATED) | depts.rlike(UNRELATED), "unrelated_dept", -20, q('department not relevant to the field: "', shown)),
         _reason(missing | unclear, "eligibility", -5, lit("eligibility information is missing or ambiguous")),
         _reason(_text(url) == "", "link_quality", -10, lit("no application URL available")),
         _reason(passed, "deadline", -15, F.concat(lit("deadline has passed: "), closes.cast("string"))),
