@@ -4,7 +4,8 @@ Each word (a run of letters and digits, in lower case) enters as two embeddings:
 knew it, and the maximum over those of its character n-grams (3 to 6, with borders), so that unseen forms of a known
 stem count. Embeddings start from each feature's association with toxic training texts. Two gated recurrent units read a window of words in
 either direction; attention pools their states; a logistic unit scores the window. All is numpy, training included.
-A text's score is that of its worst window; windows overlap and cover all of the text.
+A text's score is that of its worst window; a window starts at every word that has a whole window before the text's end.
+Training draws its windows from every ``TRAIN_STRIDE``-th word, and sets the threshold on the like.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from spindrift.llm.quality import sample_labels, split, unlike
 
 #: Bound of the labelled rows of each class that a model is fitted to.
 SAMPLE_PER_CLASS = 2500
-WINDOW, STRIDE, HIDDEN, WIDTH, ATTENTION = 32, 24, 8, 6, 8
+WINDOW, STRIDE, TRAIN_STRIDE, HIDDEN, WIDTH, ATTENTION = 32, 1, 24, 8, 6, 8
+#: Windows that are read side by side.
+_RUN = 512
 LOG_GRAMS, MOST_WORDS, CACHE_WORDS = 18, 20_000, 100_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F], np.uint64)
 _WORD = re.compile(r"[^\W_]+")
@@ -47,9 +50,9 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return places[fits], np.bincount(word, weights=fits.sum(1), minlength=len(words)).astype(np.int64)
 
 
-def window_starts(n: int) -> np.ndarray:
-    """Starts of the windows over n words: every STRIDE until the end is covered; one for a text without words."""
-    return np.arange(max(1, -(-(n - WINDOW) // STRIDE) + 1)) * STRIDE
+def window_starts(n: int, stride: int = STRIDE) -> np.ndarray:
+    """Starts of the windows over n words: every ``stride`` until the end is covered; one for a text without words."""
+    return np.arange(max(1, -(-(n - WINDOW) // stride) + 1)) * stride
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -201,15 +204,65 @@ class Model:
         score = both @ w["out"].astype(np.float32)
         return (e * score).sum(0) / e.sum(0) + w["off"][0]
 
-    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    @np.errstate(over="ignore")
+    def _runs(self, at: np.ndarray) -> np.ndarray:
+        """Logits of the windows that start at each of ``at`` (places in ``table``) but the last WINDOW - 1.
+
+        As ``_logits``, with units in rows and windows in columns: neighbours share their words, so that a step's input is a slice.
+        """
+        w, h, t = self.network.w, HIDDEN, WINDOW
+        # all three are logistics of exponentials; 1 - z is that of the negated argument, tanh(v) = 2 / (1 + exp(-2 v)) - 1
+        sign = np.repeat([-2.0, 2.0, -2.0], h).astype(np.float32)
+        re = np.ascontiguousarray((w["re"] * self.scale * sign).transpose(0, 2, 1).astype(np.float32))
+        look = np.ascontiguousarray(np.concatenate([w["att"], w["out"][:, None]], axis=1).T.astype(np.float32))
+        see = w["see"].astype(np.float32)
+        out = np.empty(len(at) - t + 1, np.float32)
+        for lo in range(0, len(out), _RUN):
+            n = min(_RUN, len(out) - lo)
+            x = np.ascontiguousarray((self.table[at[lo : lo + n + t - 1]] * np.tile(sign, 2)).T).reshape(2, 3 * h, -1)
+            s, u, gate, new, states = np.zeros((2, h, n), np.float32), np.empty((2, 3 * h, n), np.float32), np.empty((2, 2 * h, n), np.float32), np.empty((2, h, n), np.float32), np.empty((t, 2 * h, n), np.float32)
+            for i in range(t):
+                on, back = x[0, :, i : i + n], x[1, :, t - 1 - i : t - 1 - i + n]
+                np.matmul(re, s, out=u)
+                np.add(u[0, : 2 * h], on[: 2 * h], out=gate[0])
+                np.add(u[1, : 2 * h], back[: 2 * h], out=gate[1])
+                np.exp(gate, out=gate)
+                gate += 1
+                np.divide(1, gate, out=gate)
+                np.multiply(gate[:, :h], u[:, 2 * h :], out=new)
+                new[0] += on[2 * h :]
+                new[1] += back[2 * h :]
+                np.exp(new, out=new)
+                new += 1
+                np.divide(2, new, out=new)
+                new -= 1
+                new -= s
+                new *= gate[:, h:]
+                s += new
+                states[i, :h], states[t - 1 - i, h:] = s
+            both = np.matmul(look, states)
+            e = np.matmul(see, np.tanh(both[:, :ATTENTION]))
+            e = np.exp(e - e.max(0))
+            out[lo : lo + n] = (e * both[:, ATTENTION]).sum(0) / e.sum(0) + w["off"][0]
+        return out
+
+    def scores(self, texts: list[str], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
         """(highest probability over all windows, number of windows) of each text; 0 and 0 for one without words."""
         lists = [words_of(t) for t in texts]
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.concatenate([self.rows([x for words in lists for x in words]), np.zeros(WINDOW, np.int64)])
         first = np.cumsum(n) - n
-        counts = np.where(n > 0, np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1), 0)
-        doc = np.repeat(np.arange(len(n)), counts)
-        start = (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
+        counts = np.where(n > 0, np.maximum(1, -(-(n - WINDOW) // stride) + 1), 0)
+        best = np.full(len(n), -np.inf)
+        dense = (n >= WINDOW) & (stride == 1)
+        if dense.any():
+            logit = self._runs(flat[:-WINDOW][np.repeat(dense, n)])
+            start = np.cumsum(n[dense]) - n[dense]
+            # windows that reach into the next text count for neither
+            best[dense] = np.maximum.reduceat(np.append(logit, -np.inf), np.stack([start, start + counts[dense]], axis=1).ravel())[::2]
+        apart = np.where(dense, 0, counts)
+        doc = np.repeat(np.arange(len(n)), apart)
+        start = (np.arange(len(doc)) - np.repeat(np.cumsum(apart) - apart, apart)) * stride
         length = np.minimum(WINDOW, n[doc] - start)
         logit = np.empty(len(doc), np.float32)
         span = np.arange(WINDOW)
@@ -219,7 +272,6 @@ class Model:
                 at = flat[first[doc[k], None] + start[k, None] + span]
                 at = np.where(span < length[k, None], at, 0)
                 logit[k] = self._logits(at, length[k])
-        best = np.full(len(n), -np.inf)
         np.maximum.at(best, doc, logit)
         return np.where(counts > 0, 1 / (1 + np.exp(-np.clip(best, -60, 60))), 0.0), counts
 
@@ -330,7 +382,7 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 300, seed: int = 11)
     net.w = {k: v.astype(np.float32) for k, v in net.w.items()}
 
     evidence = np.maximum(zw, t.strongest(zg))
-    cut = [(i, int(s)) for i, own in enumerate(t.texts) for s in window_starts(len(own))]
+    cut = [(i, int(s)) for i, own in enumerate(t.texts) for s in window_starts(len(own), TRAIN_STRIDE)]
     owner = np.array([i for i, _ in cut])
     worth = np.array([evidence[t.texts[i][s : s + WINDOW]].max() for i, s in cut])
     is_toxic = toxic_text[owner]
@@ -362,7 +414,7 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 300, seed: int = 11)
             m2[on] += 0.01 * (grad**2 - m2[on])
             value[on] -= rate * (m1[on] / (1 - 0.9**step)) / (np.sqrt(m2[on] / (1 - 0.99**step)) + 1e-8)
     test = np.flatnonzero(held) if held.any() and len(set(y[held])) == 2 else np.arange(len(y))
-    p = np.concatenate([model.scores([texts[i] for i in test[k : k + 200]])[0] for k in range(0, len(test), 200)])
+    p = np.concatenate([model.scores([texts[i] for i in test[k : k + 200]], TRAIN_STRIDE)[0] for k in range(0, len(test), 200)])
     logit = np.log(np.clip(p, 1e-12, 1)) - np.log(np.clip(1 - p, 1e-12, 1))
     model.threshold = float(1 / (1 + np.exp(split(-logit, ~y[test], 3))))
     model.clear()
@@ -402,8 +454,8 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
     no windows and isn't toxic; a text without words scores 0. Without labels of both classes nothing can be judged:
     scores are null and nothing is toxic. Rows that repeat an id are scored one by one; other columns are ignored.
 
-    ``per_class`` bounds the labelled rows that the model is fitted to; every window of every document is scored, in
-    one pass without a shuffle.
+    ``per_class`` bounds the labelled rows that the model is fitted to; every window of every document is scored, at
+    each word, in one pass without a shuffle.
     """
     model = fit_tables(docs, labels, per_class, id_col, text_col)
     rows = pick(docs, doc_id=id_col, text=text_col)

@@ -56,6 +56,15 @@ def test_scores_are_the_worst_of_all_windows():
         assert abs(p - 1 / (1 + np.exp(-best))) < 1e-4
 
 
+def test_a_passage_counts_alike_at_all_offsets():
+    m = model()
+    passage = [f"w{i * 5 % 20}" for i in range(toxicity.WINDOW)]
+    alone = m.scores([" ".join(passage)])[0][0]
+    clean = [f"w{i * 7 % 20}" for i in range(120)]
+    got, counts = m.scores([" ".join(clean[:k] + passage + clean[k:]) for k in range(121)])
+    assert (got >= alone - 1e-5).all() and set(counts) == {121}
+
+
 def test_the_cache_changes_nothing(monkeypatch):
     texts = [f"alpha{i} beta{i} gamma" for i in range(50)]
     want = model().scores(texts)[0]
