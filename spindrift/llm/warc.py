@@ -298,20 +298,31 @@ def _record(kind: str, fields: dict[str, str | None], block: bytes) -> bytes:
 _SAFE = "".join(map(chr, range(33, 127)))
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """A task's file, by the name that it gets when the job commits."""
+
+    name: str
+
+
 class WarcWriter(DataSourceArrowWriter):
-    """A warcinfo record for each file, then a request and a response for each page (page_id, url, html)."""
+    """A warcinfo record for each file, then a request and a response for each page (page_id, url, html).
+
+    Attempts write into a folder of the job, under names that no reader takes. ``commit`` moves the files of the attempts that
+    Spark counts to where they are read; what other attempts left goes with the folder.
+    """
 
     def __init__(self, path: str, gzip: bool):
-        self.path, self.gzip = path, gzip
+        self.path, self.gzip, self.job = path, gzip, uuid.uuid4().hex
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         fs, base = pafs.FileSystem.from_uri(self.path)
-        fs.create_dir(base, recursive=True)
+        fs.create_dir(f"{base}/_{self.job}", recursive=True)
         c = TaskContext.get()
-        name = f"{base}/part-{c.partitionId():05d}-{c.taskAttemptId()}.warc" + ".gz" * self.gzip
-        with fs.open_output_stream(name, compression=None) as out:
+        name = f"part-{c.partitionId():05d}-{c.taskAttemptId()}-{self.job}.warc" + ".gz" * self.gzip
+        with fs.open_output_stream(f"{base}/_{self.job}/{name}.open", compression=None) as out:
             out.write(self._member(_record("warcinfo", {"WARC-Record-ID": self._id("info", name), "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")))
             for batch in iterator:
                 for page, url, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -320,7 +331,26 @@ class WarcWriter(DataSourceArrowWriter):
                     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (html or "").encode("utf-8", "replace")
                     response = _record("response", own | {"WARC-Record-ID": self._id("response", page), "Content-Type": "application/http; msgtype=response", "WARC-Payload-Null": "1" if html is None else None}, block)
                     out.write(self._member(request) + self._member(response))
-        return WriterCommitMessage()
+        return Written(name)
+
+    def commit(self, messages):
+        fs, base = pafs.FileSystem.from_uri(self.path)
+        for m in messages:
+            if m is not None:
+                fs.move(f"{base}/_{self.job}/{m.name}.open", f"{base}/{m.name}")
+        self._clear()
+
+    def abort(self, messages):
+        fs, base = pafs.FileSystem.from_uri(self.path)
+        for m in messages:
+            if m is not None and fs.get_file_info(f"{base}/{m.name}").type == pafs.FileType.File:  # a commit broke off
+                fs.delete_file(f"{base}/{m.name}")
+        self._clear()
+
+    def _clear(self) -> None:
+        fs, base = pafs.FileSystem.from_uri(self.path)
+        if fs.get_file_info(f"{base}/_{self.job}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{base}/_{self.job}")
 
     @staticmethod
     def _id(kind: str, what) -> str:
@@ -367,10 +397,7 @@ def register(spark: SparkSession) -> None:
 
 
 def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", gzip: bool = True) -> None:
-    """Write (page_id, url, html) as WARC files, one a partition; a task that runs again leaves a file of its own.
-
-    A failed attempt's file would double records: ``read_pages`` counts a record id once.
-    """
+    """Write (page_id, url, html) as WARC files, one a partition; of a task that runs again only the counted attempt's is read."""
     register(pages.sparkSession)
     rows = pick(pages, page_id=id_col, url=url_col, html=html_col)
     rows.write.format("warc").option("gzip", str(gzip).lower()).mode("append").save(path)

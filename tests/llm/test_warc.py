@@ -85,3 +85,34 @@ def test_plan():
 def test_no_files(spark, tmp_path):
     assert warc.read_pages(spark, str(tmp_path)).count() == 0
     assert warc.through_warc(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_only_committed_attempts_are_read(monkeypatch, tmp_path):
+    import pickle
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    uri = f"file://{tmp_path}/files"
+    writer = pickle.loads(pickle.dumps(warc.WarcWriter(uri, True)))
+    batch = pa.RecordBatch.from_pydict({"page_id": [1, 1], "url": ["http://a/", "http://a/"], "html": ["x", "x"]})
+
+    def attempt(k):
+        monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: k))
+        return writer.write(iter([batch]))
+
+    def read():
+        reader = warc.WarcReader(uri, 1 << 20, True)
+        list(reader.pushFilters([warc.EqualTo(("warc_type",), "response")]))
+        return [r["payload"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+    attempt(0)  # whole, but lost before it was counted
+    counted = attempt(1)
+    assert read() == []
+    writer.commit([counted, None])
+    assert read() == ["x", "x"] and len([p for p in (tmp_path / "files").rglob("*")]) == 1
+    writer.job = "other"
+    gone = attempt(2)
+    writer.abort([gone, None])
+    assert read() == ["x", "x"] and len([p for p in (tmp_path / "files").rglob("*")]) == 1
