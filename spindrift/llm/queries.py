@@ -15,7 +15,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(_read(spark, sf_dir, "documents"))
+    return bpe.encode(_read(spark, sf_dir, "documents"), part_tokens=512)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
