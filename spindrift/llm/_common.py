@@ -6,7 +6,7 @@ set), so that long texts don't add up; no operator changes a setting of the sess
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,3 +93,13 @@ def slices(sizes, limit: int):
         total += s
     if start < len(sizes):
         yield start, len(sizes)
+
+
+_CACHES: dict[str, Callable[[], object]] = {}
+
+
+def alone(name: str, clear: Callable[[], object]) -> None:
+    """Say that an operator's cache is in use in this worker; those of operators that ran here before are emptied."""
+    for other in [o for o in _CACHES if o != name]:
+        _CACHES.pop(other)()
+    _CACHES[name] = clear

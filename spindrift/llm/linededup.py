@@ -11,6 +11,40 @@ from pyspark.sql.types import StringType
 
 from spindrift.llm._common import Positional, materialize, pick
 
+#: Lines that are looked through at once before the shuffle.
+LOCAL_LINES = 200_000
+_LOCAL = "kind tinyint, h1 bigint, h2 bigint, id bigint, pos int"
+
+
+def _local(batches):
+    """Rows (id, pos, n, h1, h2) to rows of three kinds: the first of each hash in a run of lines (0), lines that have
+    one before them in the run and so are none of the first (1), and each row's number of lines, as pos (2)."""
+
+    def sift(parts):
+        ids, pos, n, h1, h2, blank = map(np.concatenate, zip(*parts))
+        start = np.flatnonzero(pos == 0)
+        line = np.flatnonzero(~blank)
+        order = line[np.lexsort((pos[line], ids[line], h2[line], h1[line]))]
+        first = np.ones(len(order), bool)
+        first[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
+        lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else order
+        # a repeated row has the place of the first occurrence itself: it isn't another occurrence
+        drop = (ids[order] != ids[lead]) | (pos[order] != pos[lead])
+        for kind, on, what in ((0, order[first], pos), (1, order[drop], pos), (2, start, n)):
+            h = [pa.array(x[on], mask=np.full(len(on), kind > 0)) for x in (h1, h2)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), kind, np.int8)), *h, pa.array(ids[on]), pa.array(what[on])], ["kind", "h1", "h2", "id", "pos"])
+
+    held, size = [], 0
+    for batch in batches:
+        columns = [batch.column(i) for i in range(5)]
+        held.append([*[c.to_numpy(zero_copy_only=False) for c in columns[:3]], *[c.fill_null(0).to_numpy(zero_copy_only=False) for c in columns[3:]], np.asarray(columns[3].is_null())])
+        size += batch.num_rows
+        if size >= LOCAL_LINES:
+            yield from sift(held)
+            held, size = [], 0
+    if size:
+        yield from sift(held)
+
 
 def _stream(batches):
     """Rows arrive by (h1, h2, id, pos); passes on those that aren't the first occurrence of their hash."""
@@ -18,7 +52,7 @@ def _stream(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        h1, h2, ids, pos, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        h1, h2, ids, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         first = np.ones(len(h1), bool)
         first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         if last and last[0] == h1[0] and last[1] == h2[0]:
@@ -65,18 +99,19 @@ def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null texts and null ids have no row. An empty text is one blank line. Rows that repeat an id share one bitmap: the
     same line at the same place counts once, and n_lines is that of the longest. Texts of any length are split whole.
 
-    Scale: text is read once, into 28 bytes a line; those are range-partitioned by hash (so a line that is everywhere
-    stays in one sorted run, which is streamed, never held), and only lines that go are grouped by document.
+    Scale: text is read once, into 28 bytes a line. Of a run of some 200,000 lines only the first of each hash goes on, so
+    that a line that is everywhere costs one row a run; those are range-partitioned by hash (a hash stays in one
+    sorted run, which is streamed, never held), and only lines that go are grouped by document.
     """
     lines = pick(df, id=id_col, text=text_col).where("id is not null and text is not null").select(F.col("id").cast("bigint").alias("id"), F.split("text", "\n", -1).alias("lines"))
     lines = lines.select("id", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line")).withColumn("line", F.trim("line"))
     blank = F.col("line") == ""
     hashed = lines.select("id", "pos", "n", F.when(~blank, F.xxhash64("line")).alias("h1"), F.when(~blank, F.xxhash64(F.lit(77), "line")).alias("h2"))
-    hashed = materialize(hashed, "lines")
-    ordered = hashed.where("h1 is not null").select("h1", "h2", "id", "pos", "n")
-    ordered = ordered.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "id", "pos")
-    drops = ordered.mapInArrow(_stream, "id bigint, pos int").groupBy("id").agg(F.collect_set("pos").alias("drops"))
-    every = hashed.where("pos = 0").groupBy("id").agg(F.max("n").alias("n"))
+    local = materialize(hashed.mapInArrow(_local, _LOCAL), "lines")
+    ordered = local.where("kind = 0").select("h1", "h2", "id", "pos").repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "id", "pos")
+    gone = ordered.mapInArrow(_stream, "id bigint, pos int").unionByName(local.where("kind = 1").select("id", "pos"))
+    drops = gone.groupBy("id").agg(F.collect_set("pos").alias("drops"))
+    every = local.where("kind = 2").groupBy("id").agg(F.max("pos").alias("n"))
     out = every.join(drops, "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").cast("bigint").alias("n_lines"), (F.col("n") - F.coalesce(F.size("drops"), F.lit(0))).cast("bigint").alias("n_kept"), _runs("n", "drops").alias("keep_runs"))
 

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import materialize, pick
+from spindrift.llm._common import materialize
+from spindrift.llm.bpe import VOCABULARY, count_tokens
 
 TOKENS, DOCUMENTS, COST, GROUP_ITEMS = 4096, 64, 4096 * 2048, 16_384
 
@@ -58,23 +59,34 @@ def _pack_group(capacity: tuple[int, int, int], rule: str):
         grp, doc, piece, start, n = (table.column(c).to_numpy() for c in ("grp", "doc_id", "piece", "start", "tokens"))
         order = np.lexsort((piece, doc, -n))
         bins = pack(n[order], capacity, rule)
-        return pa.table({"bin_id": grp[order].astype(np.int64) << 32 | bins, "doc_id": doc[order], "piece": piece[order], "start": start[order], "tokens": n[order]})
+        return pa.table({"bin_id": grp[order].astype(np.int64) << 32 | bins, "doc_id": doc[order], "piece": piece[order], "start": start[order], "tokens": n[order], "place": places(bins, n[order])})
 
     return run
 
 
-def items(df: DataFrame, capacity: tuple[int, int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, tokens): words of each text, in pieces of at most what an empty bin holds."""
+def places(bins: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Where each item starts in its bin's sequence, when items stand there in the order in which they came."""
+    order = np.argsort(bins, kind="stable")
+    before = np.cumsum(n[order]) - n[order]
+    new = np.flatnonzero(np.diff(bins[order], prepend=-1))
+    out = np.empty(len(n), np.int32)
+    out[order] = before - np.repeat(before[new], np.diff(np.append(new, len(n))))
+    return out
+
+
+def items(df: DataFrame, capacity: tuple[int, int, int], id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, piece, start, tokens): the tokens of each text, in pieces of at most what an empty bin holds."""
     longest = min(capacity[0], math.isqrt(capacity[2]))
-    rows = pick(df, doc_id=id_col, text=text_col).where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.regexp_count("text", F.lit(r"\S+")).alias("n")).where("n > 0")
+    rows = count_tokens(df, id_col, text_col, path).where("doc_id is not null and n_tokens > 0").withColumnRenamed("n_tokens", "n")
     piece = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / longest).cast("int")))
     return rows.select("doc_id", "n", piece.alias("piece")).select("doc_id", "piece", (F.col("piece") * longest).alias("start"), F.least(F.lit(longest), F.col("n") - F.col("piece") * longest).alias("tokens"))
 
 
-def pack_documents(df: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, cost: int = COST, rule: str = "norm", group_items: int = GROUP_ITEMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bin_id, doc_id, piece, start, tokens): which training sequence takes each document.
+def pack_documents(df: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, cost: int = COST, rule: str = "norm", group_items: int = GROUP_ITEMS, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """(bin_id, doc_id, piece, start, tokens, place): which training sequence takes each document, and where in it.
 
-    A token is a run of characters that aren't white space. No bin has more than ``tokens`` tokens, ``documents``
+    Tokens are those of the byte-level vocabulary at ``path``, as ``bpe.encode`` gives them: a sequence is made by putting each
+    piece's ids from ``start`` on, ``tokens`` of them, at ``place``. No bin has more than ``tokens`` tokens, ``documents``
     pieces or ``cost`` as the sum of squared lengths. A document that is longer than an empty bin holds is cut into
     pieces, in order, the last of which is shorter; start is a piece's first token. Texts that are null or have no tokens take no
     place, and null ids can't be named: neither has rows. Rows that repeat an id are packed each. Other columns are ignored.
@@ -83,7 +95,7 @@ def pack_documents(df: DataFrame, tokens: int = TOKENS, documents: int = DOCUMEN
     and piece; each group is packed by itself in order of falling length, which leaves some half-empty bins a group.
     """
     capacity = (tokens, documents, cost)
-    every = materialize(items(df, capacity, id_col, text_col), "items")
+    every = materialize(items(df, capacity, id_col, text_col, path), "items")
     groups = max(1, math.ceil(every.count() / group_items))
     spread = every.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    return spread.groupBy("grp").applyInArrow(_pack_group(capacity, rule), "bin_id bigint, doc_id bigint, piece int, start int, tokens int")
+    return spread.groupBy("grp").applyInArrow(_pack_group(capacity, rule), "bin_id bigint, doc_id bigint, piece int, start int, tokens int, place int")

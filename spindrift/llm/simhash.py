@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import Positional, components, discard, pick, stored
+from spindrift.llm._common import Positional, alone, components, discard, pick, stored
 
 BITS, RADIUS, GROUP_ROWS = 128, 17, 1 << 17
 _WORD = re.compile(r"[^\W_]+")
@@ -112,6 +112,7 @@ def fingerprint(text: str | None) -> bytes | None:
 
 
 def _fingerprints(batches):
+    alone("simhash", _hasher.clear)
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         both = [fingerprint(t.as_py()) for t in texts]

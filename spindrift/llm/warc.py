@@ -9,6 +9,7 @@ nothing (gzip), and never parsed or decoded.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -34,13 +35,22 @@ SPLIT_BYTES, _CHUNK, _BATCH_BYTES = 16 << 20, 1 << 16, 4 << 20
 _CHARSET = re.compile(r"charset=[\"']?([\w.:-]+)", re.I)
 
 
+class Damaged(Exception):
+    """A record that can't be read; ``resync`` goes on with the next one that starts after its own start."""
+
+
 class _Plain:
     """Records of a plain file from the first that starts at or after ``start``; ``skip`` seeks."""
 
     magic = b"WARC/1."
 
     def __init__(self, file, start: int, end: int, size: int):
-        self.file, self.at, self.end, self.size, self.buffer = file, start, end, size, b""
+        self.file, self.at, self.end, self.size, self.buffer, self.start = file, start, end, size, b"", start
+
+    def resync(self) -> None:
+        self.at, self.buffer = self.start + 1, b""
+        self.sync()
+        self.start = self.at
 
     def _fill(self, n: int) -> None:
         while len(self.buffer) < n and (more := self.file.read(max(_CHUNK, n - len(self.buffer)))):
@@ -65,21 +75,31 @@ class _Plain:
             self.buffer = self.buffer[-len(mark) :]
 
     def header(self) -> bytes | None:
+        if self.at > self.size:
+            raise Damaged("a length beyond the end of the file")
         if self.at >= min(self.end, self.size):
             return None
-        size = _CHUNK
+        self._fill(len(self.magic))
+        if not self.buffer.startswith(self.magic):
+            raise Damaged("no record where the one before ends")
+        self.start, size = self.at, _CHUNK
         while (i := self.buffer.find(b"\r\n\r\n")) < 0:
             before = len(self.buffer)
             self._fill(before + size)
             if len(self.buffer) == before:
-                return None
+                raise Damaged("a header without an end")
         head, self.buffer = self.buffer[:i], self.buffer[i + 4 :]
         self.at += i + 4
         return head
 
     def block(self, n: int) -> bytes:
-        self._fill(n + 4)
-        out, self.buffer = self.buffer[:n], self.buffer[n + 4 :]
+        if self.at + n + 4 > self.size:
+            raise Damaged("a length beyond the end of the file")
+        self._fill(n + 4 + len(self.magic))
+        after = self.buffer[n + 4 :]
+        if self.buffer[n : n + 4] != b"\r\n\r\n" or after and not after.startswith(self.magic):
+            raise Damaged("a block that doesn't end where its length says")
+        out, self.buffer = self.buffer[:n], after
         self.at += n + 4
         return out
 
@@ -98,9 +118,14 @@ class _Gzip:
     magic = b"\x1f\x8b\x08"
 
     def __init__(self, file, start: int, end: int, size: int):
-        self.file, self.at, self.end, self.size = file, start, end, size
+        self.file, self.at, self.end, self.size, self.start = file, start, end, size, start
         self.raw, self.open, self.text = b"", None, b""
 
+    def resync(self) -> None:
+        self.at, self.raw, self.open = self.start + 1, b"", None
+        self.sync()
+        self.start = self.at
+
     def sync(self) -> None:
         self.file.seek(self.at)
         if not self.at:
@@ -141,9 +166,12 @@ class _Gzip:
             elif data is not self.open.unconsumed_tail:
                 self.fed += len(data)
             if not data:
-                self.open, self.at = None, self.size
-                return b""
-            if out := self.open.decompress(data, limit):
+                raise Damaged("a member that is cut off")
+            try:
+                out = self.open.decompress(data, limit)
+            except zlib.error as e:
+                raise Damaged("a member that can't be inflated") from e
+            if out:
                 return out
         return b""
 
@@ -152,19 +180,23 @@ class _Gzip:
             self._more(1 << 20)
         if self.at >= min(self.end, self.size):
             return None
-        self.open, self.text, self.fed = zlib.decompressobj(31), b"", 0
+        self.open, self.text, self.fed, self.start = zlib.decompressobj(31), b"", 0, self.at
         while (i := self.text.find(b"\r\n\r\n")) < 0:
             if not (more := self._more(2048)):
-                return None
+                raise Damaged("a header without an end")
             self.text += more
+        if not self.text.startswith(b"WARC/1."):
+            raise Damaged("no record")
         head, self.text = self.text[:i], self.text[i + 4 :]
         return head
 
     def block(self, n: int) -> bytes:
         parts, have = [self.text], len(self.text)
-        while have < n and (more := self._more(1 << 20)):
+        while more := self._more(1 << 20):  # to the member's end, where its checksum stands
             parts.append(more)
             have += len(more)
+        if have < n:
+            raise Damaged("a block that ends before its length")
         return b"".join(parts)[:n]
 
     def skip(self, n: int) -> None:
@@ -264,18 +296,26 @@ class WarcReader(DataSourceReader):
         with fs.open_input_file(partition.path) as file:
             reader = (_Gzip if partition.path.endswith(".gz") else _Plain)(file, partition.start, partition.end, partition.size)
             reader.sync()
-            while (head := reader.header()) is not None:
-                h = _fields(head)
-                length = int(h.get("content-length") or 0)
-                if not all(t(h.get(name)) for name, t in tests):
-                    reader.skip(length)
+            while True:
+                try:
+                    if (head := reader.header()) is None:
+                        break
+                    h = _fields(head)
+                    if not re.fullmatch(r"\d{1,18}", said := h.get("content-length", "")):
+                        raise Damaged("no length")
+                    length = int(said)
+                    if not all(t(h.get(name)) for name, t in tests):
+                        reader.skip(length)
+                        continue
+                    status, http, text = None, {}, None
+                    if self.payload:
+                        status, http, body = _http(reader.block(length))
+                        text = None if h.get("warc-payload-null") else _decode(body, http.get("content-type", h.get("content-type", "")))
+                    else:
+                        reader.skip(length)
+                except Damaged:
+                    reader.resync()
                     continue
-                status, http, text = None, {}, None
-                if self.payload:
-                    status, http, body = _http(reader.block(length))
-                    text = None if h.get("warc-payload-null") else _decode(body, http.get("content-type", h.get("content-type", "")))
-                else:
-                    reader.skip(length)
                 rows.append((*[h.get(HEADER_COLUMNS[c]) for c in HEADER_COLUMNS], length, list(h.items()), status, list(http.items()), text))
                 size += length
                 if size > _BATCH_BYTES or len(rows) >= 2000:
@@ -326,7 +366,7 @@ class WarcWriter(DataSourceArrowWriter):
             out.write(self._member(_record("warcinfo", {"WARC-Record-ID": self._id("info", name), "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")))
             for batch in iterator:
                 for page, url, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    own = {"X-Page-Id": None if page is None else str(page), "WARC-Target-URI": url, "WARC-Date": "2024-01-01T00:00:00Z"}
+                    own = {"X-Page-Id": None if page is None else str(page), "X-Page-Url": None if url is None else json.dumps(url, ensure_ascii=False), "WARC-Target-URI": url, "WARC-Date": "2024-01-01T00:00:00Z"}
                     request = _record("request", own | {"WARC-Record-ID": self._id("request", page), "Content-Type": "application/http; msgtype=request"}, b"GET / HTTP/1.1\r\nAccept: text/html\r\n\r\n")
                     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (html or "").encode("utf-8", "replace")
                     response = _record("response", own | {"WARC-Record-ID": self._id("response", page), "Content-Type": "application/http; msgtype=response", "WARC-Payload-Null": "1" if html is None else None}, block)
@@ -403,22 +443,29 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     rows.write.format("warc").option("gzip", str(gzip).lower()).mode("append").save(path)
 
 
-def read_pages(spark: SparkSession, path: str, prefix: str = "http", **options) -> DataFrame:
-    """(page_id, url, html, content_length) of the responses whose URI starts with ``prefix``; filters are pushed."""
+def read_pages(spark: SparkSession, path: str, prefix: str | None = None, **options) -> DataFrame:
+    """(page_id, url, html, content_length) of all responses, or of those whose URI starts with ``prefix``; filters are pushed.
+
+    url is the page's own, as it was written: the URI of the record's header stands percent-encoded there, the URL itself in a
+    header of its own. Damaged records (no readable length, a length that doesn't lead to the next record, a member
+    that can't be inflated or is cut off) are left out, and reading goes on at the next record that starts after theirs.
+    """
     register(spark)
-    rows = spark.read.format("warc").options(**options).load(path)
-    rows = rows.where((F.col("warc_type") == "response") & F.col("target_uri").startswith(prefix))
-    return rows.select(F.col("headers")["x-page-id"].cast("bigint").alias("page_id"), F.col("target_uri").alias("url"), F.col("payload").alias("html"), "content_length")
+    rows = spark.read.format("warc").options(**options).load(path).where(F.col("warc_type") == "response")
+    if prefix is not None:
+        rows = rows.where(F.col("target_uri").startswith(prefix))
+    own = F.from_json(F.concat(F.lit('{"u":'), F.col("headers")["x-page-url"], F.lit("}")), "u string")["u"]
+    return rows.select(F.col("headers")["x-page-id"].cast("bigint").alias("page_id"), F.coalesce(own, "target_uri").alias("url"), F.col("payload").alias("html"), "content_length")
 
 
-def through_warc(pages: DataFrame, prefix: str = "http") -> DataFrame:
-    """``pages`` written to WARC files in the shared folder and read back by ``read_pages``."""
+def through_warc(pages: DataFrame, prefix: str | None = None) -> DataFrame:
+    """``pages`` written to WARC files in the shared folder and read back by ``read_pages``: every row, null URLs and all."""
     path = shared_path(pages.sparkSession, "warc")
     write_pages(pages, path)
     return read_pages(pages.sparkSession, path, prefix)
 
 
 ORACLE_PAGES = """
-SELECT page_id, url, html, CAST(octet_length(encode(html)) + octet_length(encode('HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10))) AS BIGINT) AS content_length
-FROM pages WHERE starts_with(url, 'http')
+SELECT page_id, url, html, CAST(octet_length(encode(coalesce(html, ''))) + octet_length(encode('HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10))) AS BIGINT) AS content_length
+FROM pages
 """

@@ -46,3 +46,28 @@ def test_a_line_that_is_everywhere(spark):
     df = spark.range(2000).selectExpr("id as doc_id", "concat('hot line\nown ', id) as text").repartition(7)
     got = {r["doc_id"]: r["keep_runs"] for r in linededup.keep_bitmaps(df).collect()}
     assert got.pop(0) == "2" and set(got.values()) == {"0,1,1"} and len(got) == 1999
+
+
+def test_runs_of_lines_before_the_shuffle(monkeypatch):
+    """Firsts of any run lengths, then the walk over them all, leave what one walk over all lines leaves."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = [(int(i), p, int(h)) for i in rng.permutation(60) for p, h in enumerate(rng.integers(0, 25, rng.integers(1, 9)))]
+    rows += [r for r in rows if r[0] < 5]  # repeated rows
+    last = {i: max(p for j, p, _ in rows if j == i) + 1 for i, _, _ in rows}
+    seen = {}
+    for i, p, h in sorted(set(rows)):
+        seen.setdefault(h, (i, p))
+    for size in (1, 7, 50, 1000):
+        monkeypatch.setattr(linededup, "LOCAL_LINES", size)
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int32()), pa.array([last[r[0]] for r in part], pa.int32()), *[pa.array([r[2] or None for r in part], pa.int64()) for _ in (1, 2)]], ["id", "pos", "n", "h1", "h2"]) for part in (rows[k : k + 5] for k in range(0, len(rows), 5))]
+        got = [r for b in linededup._local(batches) for r in b.to_pylist()]
+        firsts = sorted((r["h1"], r["h2"], r["id"], r["pos"]) for r in got if r["kind"] == 0)
+        drops = {(r["id"], r["pos"]) for r in got if r["kind"] == 1}
+        if firsts:
+            ordered = pa.RecordBatch.from_arrays([pa.array([r[k] for r in firsts]) for k in range(4)], ["h1", "h2", "id", "pos"])
+            drops |= {(r["id"], r["pos"]) for b in linededup._stream([ordered]) for r in b.to_pylist()}
+        assert drops == {(i, p) for i, p, h in rows if h and seen[h] != (i, p)}
+        assert {r["id"]: r["pos"] for r in got if r["kind"] == 2} == last

@@ -3,8 +3,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from spindrift.llm import packing
-from tests.llm.frames import LONG, docs, empty
+from spindrift.llm import bpe, packing
+from tests.llm.frames import docs, empty
 
 
 def naive(sizes, capacity, rule):
@@ -55,7 +55,17 @@ def test_documents(spark, data):
     df = spark.read.parquet(f"{data}/documents.parquet")
     rows = packing.pack_documents(df, 512, 8, 512 * 256, group_items=100).collect()
     used = check(rows, 512, 8, 512 * 256)
-    words = {r["doc_id"]: len(r["text"].split()) for r in df.collect()}
+    ids = {r["doc_id"]: r["ids"] for r in bpe.encode(df).collect()}
+    words = {k: len(v) for k, v in ids.items()}
+    # the sequences themselves: every place is taken once, from 0 on, and the documents come back whole
+    sequences, back = defaultdict(dict), defaultdict(list)
+    for r in rows:
+        for j in range(r["tokens"]):
+            assert sequences[r["bin_id"]].setdefault(r["place"] + j, ids[r["doc_id"]][r["start"] + j]) is ids[r["doc_id"]][r["start"] + j]
+    assert all(sorted(s) == list(range(used[b][0])) and len(s) <= 512 for b, s in sequences.items())
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
+        back[r["doc_id"]] += [sequences[r["bin_id"]][r["place"] + j] for j in range(r["tokens"])]
+    assert back == {k: v for k, v in ids.items() if v}
     have = defaultdict(int)
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
         assert r["start"] == have[r["doc_id"]]
@@ -70,5 +80,6 @@ def test_edges(spark):
     count = defaultdict(int)
     for r in rows:
         count[r["doc_id"]] += r["tokens"]
-    assert dict(count) == {1: 14, 2: 7, 6: len(LONG.split()), 7: 6, 8: 1}
+    n = {r["doc_id"]: r["n_tokens"] for r in bpe.encode(docs(spark)).collect()}
+    assert dict(count) == {1: 2 * n[1], 2: n[2], 5: n[5], 6: n[6], 7: n[7], 8: n[8]} and n[6] > 30_000
     assert packing.pack_documents(empty(spark)).count() == 0

@@ -15,6 +15,9 @@ ROWS = [
     (5, "ftp://e.example.com/", "other scheme", "c", "d"),
     (6, "http://f.example.com/long", "abc\n" * 60_000, "c", "d"),
     (1, "http://a.example.com/x?y=1%20z", "again", "c", "d"),
+    (7, 'http://ex.com/é?q=a b&c="\\\u2028\r\n', "odd", "c", "d"),
+    (8, "", "empty url", "c", "d"),
+    (9, " x ", "no scheme", "c", "d"),
 ]
 
 
@@ -30,7 +33,9 @@ def folder(request, spark, tmp_path_factory):
 def test_round_trip(spark, folder, split):
     path, rows = folder
     got = sorted((repr((r["page_id"], r["url"], r["html"])) for r in warc.read_pages(spark, path, splitBytes=split).collect()))
-    assert got == sorted(repr(r[:3]) for r in rows if r[1] and r[1].startswith("http"))
+    assert got == sorted(repr(r[:3]) for r in rows)
+    some = warc.read_pages(spark, path, "http", splitBytes=split)
+    assert sorted(repr((r["page_id"], r["url"], r["html"])) for r in some.collect()) == sorted(repr(r[:3]) for r in rows if r[1] and r[1].startswith("http"))
 
 
 def test_filters_are_pushed_and_payloads_left_alone(spark, folder):
@@ -116,3 +121,32 @@ def test_only_committed_attempts_are_read(monkeypatch, tmp_path):
     gone = attempt(2)
     writer.abort([gone, None])
     assert read() == ["x", "x"] and len([p for p in (tmp_path / "files").rglob("*")]) == 1
+
+
+def _read(path, split, only=None):
+    reader = warc.WarcReader(f"file://{path}", split, True)
+    if only:
+        list(reader.pushFilters([warc.EqualTo(("warc_type",), only)]))
+    return [r["payload"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("split", [1 << 24, 500, 90])
+@pytest.mark.parametrize("bad", ["Content-Length: x", "Content-Length: -4", "Content-Length: 999999999999", "Content-Length: 40", "Content-Length: 3", "No-Length: 1"])
+def test_damaged_records_of_plain_files(tmp_path, bad, split):
+    record = lambda i: warc._record("response", {}, f"HTTP/1.1 200 OK\r\n\r\nbody {i}".encode())
+    wrong = record(3).replace(b"Content-Length: 25", bad.encode())
+    assert wrong != record(3)
+    (tmp_path / "a.warc").write_bytes(record(1) + record(2) + wrong + record(4) + record(5) + record(6)[:40])
+    assert _read(tmp_path, split) == ["body 1", "body 2", "body 4", "body 5"]
+    assert _read(tmp_path, split, "request") == []
+
+
+@pytest.mark.parametrize("split", [1 << 24, 300])
+def test_damaged_members(tmp_path, split):
+    writer = warc.WarcWriter("file:///x", True)
+    record = lambda i: writer._member(warc._record("response", {}, f"HTTP/1.1 200 OK\r\n\r\nbody {i} ".encode() + bytes(range(256)).hex().encode() * i))
+    flipped, cut, tail = bytearray(record(3)), record(5)[:-30], bytearray(record(7))
+    flipped[len(flipped) // 2] ^= 255
+    tail[-6] ^= 255  # the checksum
+    (tmp_path / "a.warc.gz").write_bytes(record(1) + record(2) + flipped + record(4) + cut + record(6) + tail + record(8) + record(9)[:50])
+    assert [p.split(" ")[1] for p in _read(tmp_path, split)] == ["1", "2", "4", "6", "8"]
