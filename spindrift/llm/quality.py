@@ -15,10 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import Positional, pick
+from spindrift.llm._common import Positional, discard, pick, stored
 
 #: Bound of the labelled rows of each class that a model is fitted to.
 SAMPLE_PER_CLASS = 3000
+#: Bound of the bytes of their texts, half for each class: what is fitted to comes to the driver.
+SAMPLE_BYTES = 128 << 20
 LOG_SIZE = 18
 _SIZE = 1 << LOG_SIZE
 _RNG = np.random.default_rng(20240601)
@@ -28,7 +30,7 @@ _M, _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.
 _SHIFT = np.uint64(64 - LOG_SIZE)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes that are hashed at once; n-grams and words that cross a border are hashed with the next block.
+#: Bytes that are hashed at once; n-grams and words that cross a border are hashed as if there were none.
 _BLOCK = 1 << 18
 
 
@@ -43,6 +45,7 @@ def features(text: str, flags: np.ndarray | None = None) -> np.ndarray:
     at, n = 0, len(raw)
     same = pairs = 0
     last = None
+    begun, length = np.uint64(0), 0  # hash and bytes so far of a word that is longer than a block
     while at < n:
         end = min(n, at + _BLOCK)
         if end < n:  # ends a block after white space, where there is any
@@ -57,8 +60,8 @@ def features(text: str, flags: np.ndarray | None = None) -> np.ndarray:
                 h = h[:-1] + _BYTE[k][b[k:]]
                 _mark(flags, h[:own])
         b = raw[at:end]
-        solid = ~_SPACE[b]
-        where = np.flatnonzero(solid)
+        words = np.zeros(0, np.uint64)
+        where = np.flatnonzero(~_SPACE[b])
         if len(where):
             new = np.empty(len(where), bool)
             new[0] = True
@@ -67,6 +70,16 @@ def features(text: str, flags: np.ndarray | None = None) -> np.ndarray:
             place = np.arange(len(where)) - np.repeat(starts, np.diff(np.append(starts, len(where))))
             power = np.cumprod(np.full(int(place.max()) + 1, _M, np.uint64))
             words = np.add.reduceat(_WORD[b[where]] * power[place], starts)
+        if length:
+            if len(where) and not where[0]:  # the open word goes on
+                words[:1] = words[:1] * np.uint64(pow(int(_M), length, 1 << 64)) + begun
+            else:
+                words = np.append(np.array([begun], np.uint64), words)
+        if end < n and len(where) == own:  # a block without white space: its one word stays open
+            begun, length, words = words[0], length + own, words[:0]
+        else:
+            length = 0
+        if len(words):
             _mark(flags, words * _K2)
             chain = words if last is None else np.concatenate([[last], words])
             if len(chain) > 1:
@@ -119,7 +132,10 @@ def fit_features(rows: list[np.ndarray], y: np.ndarray, c: float = 1.0, epochs:
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Model | None:
-    """Fit to four fifths, set the threshold on the rest. None where either class is absent."""
+    """Fit to four fifths, set the threshold on the rest. None where either class is absent.
+
+    Of texts that are alike (``unlike``) the first counts.
+    """
     y = np.where(np.asarray(labels) > 0, 1, -1)
     if not len(y) or (y == y[0]).all():
         return None
@@ -167,28 +183,29 @@ def split(margin: np.ndarray, good: np.ndarray, weight: int = 10) -> float:
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def sample_labels(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
-    """(id, y, text) of at most ``per_class`` labelled rows of each class, chosen and ordered by a hash of the id.
+def sample_labels(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
+    """(id, y, text) of at most ``per_class`` labelled rows of each class that have a text, chosen and ordered by a hash of the id.
 
-    Null labels, ids and texts don't count. The sample is of bounded size, so it is what is broadcast, not the texts.
-    An id that repeats, in either table, counts once.
+    Of either class the texts, one after the other, hold ``sample_bytes / 2`` at most, but for the first one. Null labels, ids and
+    texts don't count. An id that repeats, in either table, counts once, with its greatest label and its least text.
+    Texts come to the driver only for what is chosen; the choice is made on ids and sizes.
     """
-    given = pick(labels, id="doc_id", y=label).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    given = given.withColumn("h", F.xxhash64("id"))
-    chosen = given.where("y > 0").orderBy("h", "id").limit(2 * per_class).unionByName(given.where("y <= 0").orderBy("h", "id").limit(2 * per_class))
+    given = pick(labels, id="doc_id", y=label).where("id is not null and y is not null").groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
     texts = pick(docs, id=id_col, text=text_col).where("id is not null and text is not null")
-    rows = texts.join(F.broadcast(chosen), "id").withColumn("size", F.length("text"))
-    # twice as many ids are drawn as needed since some have no text; of those with one, the first per_class stay
-    few = rows.select("id", "y", "h").distinct().toPandas().sort_values(["h", "id"]).groupby("y").head(per_class)
+    have = texts.select("id", F.octet_length("text").alias("size")).join(given, "id").groupBy("id", "y").agg(F.max("size").alias("size")).withColumn("h", F.xxhash64("id"))
+    have, path = stored(have, "labelled")
+    few = pd.concat([have.where(F.col("y") == y).orderBy("h", "id").limit(per_class).toPandas() for y in (0, 1)])
+    discard(docs.sparkSession, path)
     if few.empty:
         return pd.DataFrame({"id": [], "y": [], "text": []})
+    few = few[few.groupby("y")["size"].transform(lambda n: (n.cumsum() <= sample_bytes / 2) | (np.arange(len(n)) == 0)).astype(bool)]
     wanted = docs.sparkSession.createDataFrame(few[["id", "y", "h"]].astype("int64"), "id bigint, y int, h bigint")
-    found = texts.join(F.broadcast(wanted), "id").toPandas()
-    return found.sort_values(["h", "id", "text"]).drop_duplicates("id").reset_index(drop=True)
+    found = texts.join(F.broadcast(wanted), "id").groupBy("id", "y", "h").agg(F.min("text").alias("text")).toPandas()
+    return found.sort_values(["h", "id"]).reset_index(drop=True)
 
 
-def fit_tables(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    rows = sample_labels(docs, labels, "quality", per_class, id_col, text_col)
+def fit_tables(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    rows = sample_labels(docs, labels, "quality", per_class, id_col, text_col, sample_bytes)
     return fit(list(rows["text"]), rows["y"].to_numpy())
 
 
@@ -204,17 +221,17 @@ def _scorer(spark: SparkSession, model: Model):
     return score
 
 
-def classify(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(doc_id, margin, keep) for every row of ``docs``.
 
     keep is true where the margin is at least the model's threshold. A null text has a null margin and isn't kept; an
     empty text is scored by what an empty text has (no n-grams). Without labels of both classes nothing can be
     judged: margins are null and all is kept. Rows that repeat an id are scored one by one; other columns are ignored.
 
-    ``per_class`` bounds the labelled rows that the model is fitted to; every document is scored, in one pass
-    without a shuffle.
+    ``per_class`` bounds the labelled rows of each class that the model is fitted to, ``sample_bytes`` their texts; of labelled
+    texts that are alike (``unlike``) the first counts. Every document is scored whole, in one pass without a shuffle.
     """
-    model = fit_tables(docs, labels, per_class, id_col, text_col)
+    model = fit_tables(docs, labels, per_class, id_col, text_col, sample_bytes)
     rows = pick(docs, doc_id=id_col, text=text_col)
     if model is None:
         return rows.select("doc_id", F.lit(None).cast("double").alias("margin"), F.lit(True).alias("keep"))
@@ -222,9 +239,9 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
     return scored.withColumn("keep", F.coalesce(F.col("margin") >= model.threshold, F.lit(False)))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """``docs`` without the rows that ``classify`` rejects, all columns as they were."""
-    model = fit_tables(docs, labels, per_class, id_col, text_col)
+    model = fit_tables(docs, labels, per_class, id_col, text_col, sample_bytes)
     if model is None:
         return docs
     p = Positional(docs)

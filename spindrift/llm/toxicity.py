@@ -3,9 +3,10 @@
 Each word (a run of letters and digits, in lower case) enters as two embeddings: one of the word itself, where training
 knew it, and the maximum over those of its character n-grams (3 to 6, with borders), so that unseen forms of a known
 stem count. Embeddings start from each feature's association with toxic training texts. Two gated recurrent units read a window of words in
-either direction; attention pools their states; a logistic unit scores the window. All is numpy, training included.
+either direction; attention pools their states; a logistic unit scores the window. Training is all numpy. Full windows are
+scored by the same network as a graph for onnxruntime, made of the trained weights, as millions of them overlap.
 A text's score is that of its worst window; a window starts at every word that has a whole window before the text's end.
-Training draws its windows from every ``TRAIN_STRIDE``-th word, and sets the threshold on the like.
+Training looks for its windows at every ``TRAIN_STRIDE``-th word and moves them by chance; the threshold is set on scores over all windows.
 """
 
 from __future__ import annotations
@@ -17,15 +18,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import Positional, pick
-from spindrift.llm.quality import sample_labels, split, unlike
+from spindrift.llm import onnx
+from spindrift.llm._common import Positional, alone, pick
+from spindrift.llm.quality import SAMPLE_BYTES, sample_labels, split, unlike
 
 #: Bound of the labelled rows of each class that a model is fitted to.
 SAMPLE_PER_CLASS = 2500
 WINDOW, STRIDE, TRAIN_STRIDE, HIDDEN, WIDTH, ATTENTION = 32, 1, 24, 8, 6, 8
+#: A word has an embedding of its own where it stands in so many training texts at least.
+LEAST_TEXTS = 3
 #: Windows that are read side by side.
-_RUN = 512
-LOG_GRAMS, MOST_WORDS, CACHE_WORDS = 18, 20_000, 100_000
+_RUN = 4096
+LOG_GRAMS, CACHE_WORDS = 18, 100_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F], np.uint64)
 _WORD = re.compile(r"[^\W_]+")
 
@@ -129,13 +133,43 @@ class Network:
         return g, dpre[0] @ w["in"][0].T + dpre[1] @ w["in"][1].T
 
 
+def _graph(w: dict) -> bytes:
+    """The network over windows that start at consecutive words, without its offset: inputs are x<direction><gate>, the words'
+    shares of the gates, of which a step of all windows takes a slice; window i is words i to i + WINDOW - 1."""
+    g, h, t = onnx.Graph(), HIDDEN, WINDOW
+    f32 = lambda a: np.ascontiguousarray(a, np.float32)
+    rows, columns = g.constant(np.array([0])), g.constant(np.array([1]))
+    first, last = [g.constant(np.array([i])) for i in range(t)], [g.constant(np.array([i - t + 1 if i < t - 1 else 1 << 40])) for i in range(t)]
+    states = np.empty((2, t), object)
+    for d in (0, 1):
+        reset, update, new = (g.constant(f32(w["re"][d][:, k * h : (k + 1) * h])) for k in range(3))
+        s = None
+        for at in range(t) if d == 0 else range(t - 1, -1, -1):
+            x = [g.add("Slice", f"x{d}{k}", first[at], last[at], rows) for k in range(3)]
+            if s is None:  # from zeros
+                z, n = g.add("Sigmoid", x[1]), g.add("Tanh", x[2])
+                s = g.add("Sub", n, g.add("Mul", z, n))
+            else:
+                r, z = g.add("Sigmoid", g.add("Gemm", s, reset, x[0])), g.add("Sigmoid", g.add("Gemm", s, update, x[1]))
+                n = g.add("Tanh", g.add("Add", g.add("Mul", r, g.add("MatMul", s, new)), x[2]))
+                s = g.add("Add", n, g.add("Mul", z, g.add("Sub", s, n)))
+            states[d, at] = s
+    att, out = ([g.constant(f32(m[d * h : (d + 1) * h])) for d in (0, 1)] for m in (w["att"], w["out"][:, None]))
+    see = g.constant(f32(w["see"][:, None]))
+    both = lambda m, i: g.add("Gemm", states[1, i], m[1], g.add("MatMul", states[0, i], m[0]))
+    looks = g.add("Concat", *[g.add("MatMul", g.add("Tanh", both(att, i)), see) for i in range(t)], axis=1)
+    votes = g.add("Concat", *[both(out, i) for i in range(t)], axis=1)
+    logit = g.add("ReduceSum", g.add("Mul", g.add("Softmax", looks, axis=1), votes), columns, keepdims=0)
+    return g.model({f"x{d}{k}": h for d in (0, 1) for k in range(3)}, logit)
+
+
 class Model:
     def __init__(self, vocabulary: dict[str, int], word: np.ndarray, gram: np.ndarray, network: Network, threshold: float = 0.5):
         self.vocabulary, self.word, self.gram, self.network, self.threshold = vocabulary, word, gram, network, threshold
         self.clear()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("row", "table")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "table", "session")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -143,7 +177,7 @@ class Model:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.table = None
+        self.table = self.session = None
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """(words, 2 * WIDTH): the word's embedding and the maximum of its n-grams'."""
@@ -160,7 +194,7 @@ class Model:
         """Places of words in ``table``, which holds their share of both directions' gates; place 0 is no word."""
         fresh = [w for w in dict.fromkeys(words) if w not in self.row]
         if len(self.row) + len(fresh) > CACHE_WORDS and self.row:
-            self.clear()
+            self.row, self.table = {}, None
             fresh = list(dict.fromkeys(words))
         w = self.network.w
         if self.table is None:
@@ -204,47 +238,17 @@ class Model:
         score = both @ w["out"].astype(np.float32)
         return (e * score).sum(0) / e.sum(0) + w["off"][0]
 
-    @np.errstate(over="ignore")
     def _runs(self, at: np.ndarray) -> np.ndarray:
-        """Logits of the windows that start at each of ``at`` (places in ``table``) but the last WINDOW - 1.
-
-        As ``_logits``, with units in rows and windows in columns: neighbours share their words, so that a step's input is a slice.
-        """
-        w, h, t = self.network.w, HIDDEN, WINDOW
-        # all three are logistics of exponentials; 1 - z is that of the negated argument, tanh(v) = 2 / (1 + exp(-2 v)) - 1
-        sign = np.repeat([-2.0, 2.0, -2.0], h).astype(np.float32)
-        re = np.ascontiguousarray((w["re"] * self.scale * sign).transpose(0, 2, 1).astype(np.float32))
-        look = np.ascontiguousarray(np.concatenate([w["att"], w["out"][:, None]], axis=1).T.astype(np.float32))
-        see = w["see"].astype(np.float32)
-        out = np.empty(len(at) - t + 1, np.float32)
+        """Logits of the windows that start at each of ``at`` (places in ``table``) but the last WINDOW - 1, as ``_logits`` gives them."""
+        h = HIDDEN
+        if self.session is None:
+            self.session = onnx.session(_graph(self.network.w))
+        out = np.empty(len(at) - WINDOW + 1, np.float32)
         for lo in range(0, len(out), _RUN):
             n = min(_RUN, len(out) - lo)
-            x = np.ascontiguousarray((self.table[at[lo : lo + n + t - 1]] * np.tile(sign, 2)).T).reshape(2, 3 * h, -1)
-            s, u, gate, new, states = np.zeros((2, h, n), np.float32), np.empty((2, 3 * h, n), np.float32), np.empty((2, 2 * h, n), np.float32), np.empty((2, h, n), np.float32), np.empty((t, 2 * h, n), np.float32)
-            for i in range(t):
-                on, back = x[0, :, i : i + n], x[1, :, t - 1 - i : t - 1 - i + n]
-                np.matmul(re, s, out=u)
-                np.add(u[0, : 2 * h], on[: 2 * h], out=gate[0])
-                np.add(u[1, : 2 * h], back[: 2 * h], out=gate[1])
-                np.exp(gate, out=gate)
-                gate += 1
-                np.divide(1, gate, out=gate)
-                np.multiply(gate[:, :h], u[:, 2 * h :], out=new)
-                new[0] += on[2 * h :]
-                new[1] += back[2 * h :]
-                np.exp(new, out=new)
-                new += 1
-                np.divide(2, new, out=new)
-                new -= 1
-                new -= s
-                new *= gate[:, h:]
-                s += new
-                states[i, :h], states[t - 1 - i, h:] = s
-            both = np.matmul(look, states)
-            e = np.matmul(see, np.tanh(both[:, :ATTENTION]))
-            e = np.exp(e - e.max(0))
-            out[lo : lo + n] = (e * both[:, ATTENTION]).sum(0) / e.sum(0) + w["off"][0]
-        return out
+            x = self.table[at[lo : lo + n + WINDOW - 1]] / np.tile(self.scale, 2)
+            out[lo : lo + n] = self.session.run(None, {f"x{d}{g}": np.ascontiguousarray(x[:, (3 * d + g) * h : (3 * d + g + 1) * h]) for d in (0, 1) for g in range(3)})[0]
+        return out + self.network.w["off"][0]
 
     def scores(self, texts: list[str], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
         """(highest probability over all windows, number of windows) of each text; 0 and 0 for one without words."""
@@ -340,9 +344,12 @@ class _Trainer:
         return (known, own[:, :WIDTH] * (known > 0)[:, None]), (which, gram)
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = 300, seed: int = 11) -> Model | None:
+def fit(texts: list[str], labels: np.ndarray, steps: int = 300, seed: int = 11, least_texts: int = LEAST_TEXTS) -> Model | None:
     """Train on four fifths of the texts, set the threshold on the rest. None where either class is absent.
 
+    Of texts that are alike (``unlike``) the first counts. A word has an embedding of its own where ``least_texts`` training
+    texts have it; all words have those of their n-grams.
+
     A text's label says only that some window is toxic. A first choice of that window goes by the association of
     words and n-grams; half way, the network's own worst window takes its place. Clean texts give their likeliest and random windows.
     """
@@ -369,8 +376,7 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 300, seed: int = 11)
         word_count[int(label), own] += 1
         gram_count[int(label), np.unique(t.grams(own))] += 1
     zw, zg = _association(word_count[1], word_count[0], n_toxic, n_clean), _association(gram_count[1], gram_count[0], n_toxic, n_clean)
-    often = np.argsort(-word_count.sum(0), kind="stable")[:MOST_WORDS]
-    often = often[word_count.sum(0)[often] > 2]
+    often = np.flatnonzero(word_count.sum(0) >= least_texts)
     r = np.random.default_rng(seed)
     word, gram = r.normal(0, 0.05, (len(often) + 1, WIDTH)).astype(np.float32), r.normal(0, 0.05, (1 << LOG_GRAMS, WIDTH)).astype(np.float32)
     word[0] = 0
@@ -383,8 +389,10 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 300, seed: int = 11)
 
     evidence = np.maximum(zw, t.strongest(zg))
     cut = [(i, int(s)) for i, own in enumerate(t.texts) for s in window_starts(len(own), TRAIN_STRIDE)]
-    owner = np.array([i for i, _ in cut])
-    worth = np.array([evidence[t.texts[i][s : s + WINDOW]].max() for i, s in cut])
+    owner, starts = np.array(cut).T
+    peak = np.array([s + int(evidence[t.texts[i][s : s + WINDOW]].argmax()) for i, s in cut])
+    worth = np.array([evidence[t.texts[i][p]] for i, p in zip(owner, peak)])
+    room = np.array([max(0, len(own) - WINDOW) for own in t.texts])[owner]
     is_toxic = toxic_text[owner]
 
     def choose() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -400,8 +408,10 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 300, seed: int = 11)
                 x, mask, _ = t.batch(model, cut[lo : lo + 512])
                 worth[lo : lo + 512] = net.forward(x, mask)[0]
             bad, likely, clean = choose()
-        good = np.where(r.random(half) < 0.5, r.choice(likely, half), r.choice(clean, half))
-        x, mask, used = t.batch(model, [cut[i] for i in np.concatenate([r.choice(bad, half), good])])
+        # windows are scored at every word, so those trained on start at any too: with what speaks for them at any place, or anywhere
+        some = np.concatenate([r.choice(bad, half), r.choice(likely, half - half // 2), r.choice(clean, half // 2)])
+        start = np.where(np.arange(2 * half) < 2 * half - half // 2, peak[some] - r.integers(0, WINDOW, 2 * half), starts[some] + r.integers(0, TRAIN_STRIDE, 2 * half))
+        x, mask, used = t.batch(model, list(zip(owner[some], np.clip(start, 0, room[some]))))
         logit, cache = net.forward(x, mask)
         d = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - np.repeat([1.0, 0.0], half)).astype(np.float32) / (2 * half)
         g, dx = net.backward(cache, d)
@@ -414,15 +424,16 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 300, seed: int = 11)
             m2[on] += 0.01 * (grad**2 - m2[on])
             value[on] -= rate * (m1[on] / (1 - 0.9**step)) / (np.sqrt(m2[on] / (1 - 0.99**step)) + 1e-8)
     test = np.flatnonzero(held) if held.any() and len(set(y[held])) == 2 else np.arange(len(y))
-    p = np.concatenate([model.scores([texts[i] for i in test[k : k + 200]], TRAIN_STRIDE)[0] for k in range(0, len(test), 200)])
+    del t, moments, evidence, word_count, gram_count
+    p = np.concatenate([model.scores([texts[i] for i in test[k : k + 200]])[0] for k in range(0, len(test), 200)])
     logit = np.log(np.clip(p, 1e-12, 1)) - np.log(np.clip(1 - p, 1e-12, 1))
     model.threshold = float(1 / (1 + np.exp(split(-logit, ~y[test], 3))))
     model.clear()
     return model
 
 
-def fit_tables(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    rows = sample_labels(docs, labels, "toxic", per_class, id_col, text_col)
+def fit_tables(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    rows = sample_labels(docs, labels, "toxic", per_class, id_col, text_col, sample_bytes)
     return fit(list(rows["text"]), rows["y"].to_numpy())
 
 
@@ -432,6 +443,7 @@ def _scorer(spark: SparkSession, model: Model):
     @F.pandas_udf("struct<score double, windows bigint>")
     def score(text: pd.Series) -> pd.DataFrame:
         m = shared.value  # the worker keeps it, with its cache of words, from task to task
+        alone("toxicity", m.clear)
         best, count = np.full(len(text), np.nan), np.zeros(len(text), np.int64)
         on = [i for i, t in enumerate(text) if t is not None]
         start, size = 0, 0
@@ -446,17 +458,18 @@ def _scorer(spark: SparkSession, model: Model):
     return score
 
 
-def classify(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(doc_id, score, windows, toxic) for every row of ``docs``.
 
     toxic is true where the score of the worst window is at least the model's threshold. A null text has a null score,
     no windows and isn't toxic; a text without words scores 0. Without labels of both classes nothing can be judged:
     scores are null and nothing is toxic. Rows that repeat an id are scored one by one; other columns are ignored.
 
-    ``per_class`` bounds the labelled rows that the model is fitted to; every window of every document is scored, at
-    each word, in one pass without a shuffle.
+    ``per_class`` bounds the labelled rows of each class that the model is fitted to, ``sample_bytes`` their texts; of labelled
+    texts that are alike one counts. Every window of every document is scored, at each word, in one pass without a
+    shuffle.
     """
-    model = fit_tables(docs, labels, per_class, id_col, text_col)
+    model = fit_tables(docs, labels, per_class, id_col, text_col, sample_bytes)
     rows = pick(docs, doc_id=id_col, text=text_col)
     if model is None:
         return rows.select("doc_id", F.lit(None).cast("double").alias("score"), F.lit(0).cast("bigint").alias("windows"), F.lit(False).alias("toxic"))
@@ -465,9 +478,9 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
     return s.select("doc_id", score.alias("score"), F.col("s.windows").alias("windows"), F.coalesce(score >= model.threshold, F.lit(False)).alias("toxic"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """``docs`` without the rows that ``classify`` finds toxic, all columns as they were; null texts stay."""
-    model = fit_tables(docs, labels, per_class, id_col, text_col)
+    model = fit_tables(docs, labels, per_class, id_col, text_col, sample_bytes)
     if model is None:
         return docs
     p = Positional(docs)

@@ -94,3 +94,23 @@ def test_edges(spark):
 def test_threshold_keeps_the_good(margin, good):
     t = quality.split(np.array(margin), np.array(good))
     assert all(m >= t for m, g in zip(margin, good) if g)
+
+
+def test_long_words_are_hashed_whole(monkeypatch):
+    text = "ab " * 50 + "x" * 1000 + "yz" * 700 + " tail of words " + "q" * 300 + "\n" + "r" * 64 + " " + "s" * 65
+    want = quality.features(text).tolist()
+    for block in (64, 65, 100, 257, 5000):
+        monkeypatch.setattr(quality, "_BLOCK", block)
+        assert quality.features(text).tolist() == want
+
+
+def test_samples_hold_as_many_as_there_are(spark):
+    """Labels of rows without a text take no place, whatever their share; sizes bound what comes to the driver."""
+    rows = [(i, None if i % 10 else "t" * 100 + str(i), "en", "s", 0) for i in range(2000)] + [(10, "a", "en", "s", 0)]
+    labels = spark.createDataFrame([(i, i % 20 // 10, 0) for i in range(2000)] + [(20, 0, 0), (20, None, 0), (None, 1, 0)], LABELS)
+    got = quality.sample_labels(docs(spark, rows), labels, "quality", 90)
+    assert got["y"].value_counts().to_dict() == {0: 90, 1: 90} and not got["id"].duplicated().any() and not (got["id"] % 10).any()
+    assert quality.sample_labels(docs(spark, rows), labels, "quality", 150).query("id == 10")["text"].tolist() == ["a"]
+    few = quality.sample_labels(docs(spark, rows), labels, "quality", 90, sample_bytes=2000)
+    assert few.groupby("y")["text"].apply(lambda t: t.str.len().sum()).max() <= 1000 and len(few) == 18
+    assert len(quality.sample_labels(docs(spark, rows), labels, "quality", 90, sample_bytes=1)) == 2

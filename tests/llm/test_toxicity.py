@@ -56,6 +56,22 @@ def test_scores_are_the_worst_of_all_windows():
         assert abs(p - 1 / (1 + np.exp(-best))) < 1e-4
 
 
+def test_the_graph_is_the_network(monkeypatch):
+    monkeypatch.setattr(toxicity, "_RUN", 50)
+    m = model()
+    words = [f"w{i * 11 % 37}" for i in range(170)]
+    at = m.rows(words)
+    spans = at[np.arange(170 - toxicity.WINDOW + 1)[:, None] + np.arange(toxicity.WINDOW)]
+    assert np.allclose(m._runs(at), m._logits(spans, np.full(len(spans), toxicity.WINDOW)), atol=1e-5)
+
+
+def test_words_of_few_training_texts_have_no_row():
+    rows, bad = made(300, 9)
+    texts, y = [r[1] for r in rows], np.array([bad[r[0]] for r in rows])
+    held = [len(toxicity.fit(texts, y, steps=4, least_texts=k).vocabulary) for k in (1, 3, 30)]
+    assert held[0] > held[1] > held[2]
+
+
 def test_a_passage_counts_alike_at_all_offsets():
     m = model()
     passage = [f"w{i * 5 % 20}" for i in range(toxicity.WINDOW)]
