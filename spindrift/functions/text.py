@@ -62,6 +62,11 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
+def case_insensitive_key(c: Column) -> Column:
+    """For comparing whatever the case: composed characters, single spaces, lower case."""
+    return F.lower(_squeeze(nfc(c)))
+
+
 NAMED = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "bull": "•",
     "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "amp": "&",

@@ -91,3 +91,8 @@ def board_token(value: str) -> str:
     if len(token) > 128 or not re.fullmatch(r"[a-z0-9][a-z0-9_-]*", token):
         raise ValueError(f"not a board token: {value!r}")
     return token
+
+
+def board_url(token: str, base: str = "https://boards-api.greenhouse.io") -> str:
+    """Where a board's jobs are listed with their texts; only a plain token gets there, never a link."""
+    return f"{base}/v1/boards/{board_token(token)}/jobs?content=true"

@@ -81,3 +81,30 @@ def quick_add(matches: DataFrame) -> DataFrame:
     error, a family or fuzzy one inserts and flags, none inserts."""
     exact = F.col("kind").isin("same_url", "strict_key")
     return matches.select("draft_id", F.when(exact, "error").otherwise("insert").alias("action"), F.when(F.col("kind") == "family", "possible_repost").when(F.col("kind") == "fuzzy", "possible_duplicate").alias("task"), F.when(exact, F.col("opportunity_id")).alias("existing_id"))
+
+
+#: Listings in these states are never altered by a feed, whatever their review says.
+PROTECTED = ("closed", "expired", "broken_link", "hidden", "duplicate", "not_relevant", "archive_only")
+
+
+def may_alter(status: Column, review_status: Column, public_safe: Column) -> Column:
+    """Whether a feed may write a listing's fields: not decided on by an officer, not in a protected state, not approved and public."""
+    return ~F.coalesce(review_status.isin("approved", "rejected"), F.lit(False)) & ~F.coalesce(status.isin(*PROTECTED), F.lit(False)) & (update_policy(review_status, public_safe) == "update_fields")
+
+
+def publish_companies(companies: DataFrame, rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``companies`` (id, public_safe, ...) with those made public whose listing (id, company_id) an approval asks it for
+    (``make_company_public``). Approvals that name no visible status ask for nothing."""
+    asked = decisions.where("action = 'approve' and target_status in ('open_verified', 'open_unverified') and make_company_public").select(F.col("id").alias("__id"))
+    public = rows.join(asked, F.col("id") == F.col("__id"), "left_semi").where("company_id is not null").select(F.col("company_id").alias("__company")).distinct()
+    j = companies.join(public, F.col("id") == F.col("__company"), "left")
+    return j.withColumn("public_safe", F.col("__company").isNotNull() | F.col("public_safe")).select(*companies.columns)
+
+
+def stamp_updates(before: DataFrame, after: DataFrame, key: str, now: Column) -> DataFrame:
+    """``after`` with ``updated_at`` set to ``now`` on rows that were written: new ones, and those in which any column differs."""
+    columns = [c for c in after.columns if c not in (key, "updated_at")]
+    old = before.select(F.col(key).alias("__key"), F.col("updated_at").alias("__at"), F.struct(*columns).alias("__old"))
+    j = after.join(old, F.col(key) == F.col("__key"), "left")
+    same = F.col("__key").isNotNull() & F.struct(*columns).eqNullSafe(F.col("__old"))
+    return j.withColumn("updated_at", F.when(same, F.col("__at")).otherwise(now)).select(*after.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,27 +17,33 @@ def _first(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__rn = 1").drop("__rn")
 
 
-def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(l, r, score) of all pairs of distinct names (column ``name``) with Dice of at least ``least``, equal ones too.
+def similar_names(left: DataFrame, right: DataFrame, least: float, within: str | None = None) -> DataFrame:
+    """(l, r, score) of all pairs of distinct names (column ``name``) with Dice of at least ``least``, equal ones too; with
+    ``within``, a column of both sides that comes first in the result, only pairs that agree in it.
 
-    Lossless blocking: two such names of m <= n bigrams share at least s = least * (m + n) / 2 >= least * m / (2 - least)
-    of them as multisets, and m / n >= least / (2 - least). So they must meet in the rarest bigrams of either: of the
-    ordered bigram occurrences of each name a prefix of n - ceil(least * n / (2 - least)) + 1 is enough (prefix filter).
-    Occurrences are ordered by how many names have them, rarest first, which keeps frequent bigrams out of the join.
+    Lossless blocking: two such names share at least s = least * n / (2 - least) of their bigrams as multisets, whichever
+    of them has the n (more than one, unless they are equal). Ordered by how many names have them, rarest first, the two
+    rarest that they share lie among the first n - s + 2 bigrams of either. So names meet in pairs of bigrams from such
+    prefixes, which are some thousand times rarer than single ones, and only where their lengths allow the score.
     """
-    names = left.select("name").union(right.select("name")).where("length(name) >= 2").distinct()
+    group = [within] if within else []
+    distinct = lambda d: d.select(*group, "name").distinct()
+    names = distinct(left).union(distinct(right)).where("length(name) >= 3").select("name").distinct()
     # the k-th occurrence of a bigram is an item of its own, so multisets become sets
     grams = names.select("name", F.posexplode(bigrams(F.col("name"))).alias("at", "g"))
     items = grams.withColumn("k", F.row_number().over(Window.partitionBy("name", "g").orderBy("at"))).select("name", F.concat_ws("#", "g", "k").alias("item"))
-    often = items.groupBy("item").count()
-    ranked = items.join(often, "item").withColumn("at", F.row_number().over(Window.partitionBy("name").orderBy("count", "item")))
+    ranked = items.join(items.groupBy("item").count(), "item")
     n = F.length("name") - 1
-    prefix = ranked.where(F.col("at") <= n - F.ceil(n * least / (2 - least) - 1e-9) + 1).select("name", "item")
-    a = left.select("name").distinct().join(prefix, "name").select(F.col("name").alias("l"), "item")
-    b = right.select("name").distinct().join(prefix, "name").select(F.col("name").alias("r"), "item")
-    pairs = a.join(b, "item").where((F.least(F.length("l"), F.length("r")) - 1) >= (F.greatest(F.length("l"), F.length("r")) - 1) * (least / (2 - least)) - 1e-9)
-    fuzzy = pairs.select("l", "r").where("l <> r").distinct().withColumn("score", dice(F.col("l"), F.col("r"))).where(F.col("score") >= least)
-    same = left.select(F.col("name").alias("l")).distinct().join(right.select(F.col("name").alias("r")).distinct(), F.col("l") == F.col("r")).withColumn("score", F.lit(1.0))
+    keep = (n - F.ceil(n * least / (2 - least) - 1e-9) + 2).cast("int")
+    prefix = ranked.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("count", "item"))).alias("i")).select("name", F.slice(F.col("i.item"), 1, keep).alias("i"))
+    places = F.sequence(F.lit(1), F.size("i"))
+    pairs = F.flatten(F.transform(places, lambda x: F.transform(F.filter(places, lambda y: y > x), lambda y: F.xxhash64(F.element_at("i", x), F.element_at("i", y)))))
+    keys = prefix.select("name", F.explode(pairs).alias("key"), n.alias("n"))
+    a = distinct(left).join(keys, "name").select(*group, F.col("name").alias("l"), "key", F.col("n").alias("m"))
+    b = distinct(right).join(keys, "name").select(*group, F.col("name").alias("r"), "key", "n")
+    near = a.join(b, [*group, "key"]).where(F.least("m", "n") >= F.greatest("m", "n") * (least / (2 - least)) - 1e-9)
+    fuzzy = near.where("l <> r").select(*group, "l", "r").distinct().withColumn("score", dice(F.col("l"), F.col("r"))).where(F.col("score") >= least)
+    same = distinct(left).intersect(distinct(right)).where("name is not null").select(*group, F.col("name").alias("l"), F.col("name").alias("r"), F.lit(1.0).alias("score"))
     return fuzzy.unionByName(same)
 
 
@@ -67,9 +75,10 @@ def match_opportunity(drafts: DataFrame, existing: DataFrame) -> DataFrame:
     for rank, key in enumerate(("posting_url", "dedupe_key", "family_key"), 1):
         firsts = e.where(f"e_{key} is not null").groupBy(f"e_{key}").agg(F.min("e_id").alias("e_id"))
         tiers.append(drafts.join(firsts, F.col(key) == F.col(f"e_{key}")).select("draft_id", "e_id", F.lit(rank).alias("tier"), F.lit(1.0).alias("score")))
-    # distinct titles are compared, not rows; rows then meet by company and title
-    alike = similar_names(drafts.select(F.lower("title").alias("name")), e.select(F.lower("e_title").alias("name")), TITLE_LEAST)
-    fuzzy = drafts.join(alike, F.lower("title") == F.col("l")).join(e, (F.col("company_id") == F.col("e_company_id")) & (F.lower("e_title") == F.col("r")))
+    # distinct titles of a company are compared, and stand for their least row
+    titled = e.groupBy("e_company_id", F.lower("e_title").alias("e_name")).agg(F.min("e_id").alias("e_id"))
+    alike = similar_names(drafts.select(F.col("company_id").alias("c"), F.lower("title").alias("name")), titled.select(F.col("e_company_id").alias("c"), F.col("e_name").alias("name")), TITLE_LEAST, "c")
+    fuzzy = drafts.join(alike, (F.col("company_id") == F.col("c")) & (F.lower("title") == F.col("l"))).join(titled, (F.col("c") == F.col("e_company_id")) & (F.col("r") == F.col("e_name")))
     tiers.append(fuzzy.select("draft_id", "e_id", F.lit(4).alias("tier"), "score"))
     every = tiers[0]
     for t in tiers[1:]:
@@ -97,13 +106,17 @@ def assess_duplicates(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     named_c, named_p = c.where("c_employer <> '' and c_title <> ''"), p.where("p_employer <> '' and p_title <> ''")
     alike = similar_names(named_c.select(F.col("c_employer").alias("name")), named_p.select(F.col("p_employer").alias("name")), FEED_LEAST)
     alike = alike.select(F.col("l").alias("c_employer"), F.col("r").alias("p_employer"), F.col("score").alias("employer_score"))
-    # distinct names and titles are compared, not rows; rows then meet by employer and title
+    # distinct names and titles are compared; pairs of both are matched as such before rows meet by them
     pair = lambda x, y: similar_names(named_c.select(x.alias("name")), named_p.select(y.alias("name")), FEED_LEAST)
     titles = pair(F.col("c_title"), F.col("p_title")).select(F.col("l").alias("c_title"), F.col("r").alias("p_title"), F.col("score").alias("ts"))
-    probable = named_c.join(alike, "c_employer").join(titles, "c_title").join(named_p, ["p_employer", "p_title"]).where(F.col("c_location").eqNullSafe(F.col("p_location")))
+    both = lambda d, *columns: d.select(*columns).distinct()
+    met = both(named_c, "c_employer", "c_title").join(titles, "c_title").join(alike, "c_employer").join(both(named_p, "p_employer", "p_title"), ["p_employer", "p_title"])
+    probable = named_c.join(met, ["c_employer", "c_title"]).join(named_p, ["p_employer", "p_title"]).where(F.col("c_location").eqNullSafe(F.col("p_location")))
     probable = probable.withColumns({"tier": F.lit(3), "conf": F.least(F.lit(0.9), (F.col("employer_score") + F.col("ts")) / 2 + 0.05)})
     families = pair(family_of(F.col("c_title")), family_of(F.col("p_title"))).select(F.col("l").alias("cf"), F.col("r").alias("pf"))
-    annual = named_c.withColumn("cf", family_of(F.col("c_title"))).join(alike, "c_employer").join(families, "cf").join(named_p.withColumn("pf", family_of(F.col("p_title"))), ["p_employer", "pf"])
+    c_f, p_f = named_c.withColumn("cf", family_of(F.col("c_title"))), named_p.withColumn("pf", family_of(F.col("p_title")))
+    kin = both(c_f, "c_employer", "cf").join(families, "cf").join(alike, "c_employer").join(both(p_f, "p_employer", "pf"), ["p_employer", "pf"])
+    annual = c_f.join(kin, ["c_employer", "cf"]).join(p_f, ["p_employer", "pf"])
     annual = annual.where((F.col("c_title") != F.col("p_title")) & ((F.col("cf") != F.col("c_title")) | (F.col("pf") != F.col("p_title"))) & F.coalesce(F.col("c_location") == F.col("p_location"), F.lit(True)))
     annual = annual.withColumns({"tier": F.lit(4), "conf": F.lit(0.6)})
     columns = [*[f"c_{x}" for x in _FIELDS], *[f"p_{x}" for x in _FIELDS], "tier", "conf"]
@@ -136,31 +149,48 @@ def duplicate_clusters(rows: DataFrame) -> DataFrame:
     then by family key, each pass over what no earlier one has taken."""
     out, left = None, rows
     for name in ("url", "dedupe_key", "family_key"):
-        sized = left.withColumn("__n", F.when(F.col(name).isNotNull(), F.count("*").over(Window.partitionBy(name))))
-        found = sized.where("__n >= 2").groupBy(F.col(name).alias("key")).agg(F.array_sort(F.collect_list("id")).alias("members")).select(F.lit(name).alias("pass"), "key", "members")
+        groups = left.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("key")).agg(F.array_sort(F.collect_list("id")).alias("members")).where("size(members) >= 2")
+        found = groups.select(F.lit(name).alias("pass"), "key", "members")
         out = found if out is None else out.unionByName(found)
-        left = sized.where("__n is null or __n < 2").drop("__n")
+        left = left.join(groups.select(F.col("key").alias("__key")), F.col(name) == F.col("__key"), "left_anti")
     return out
 
 
 def fuzzy_clusters(rows: DataFrame, least: float = TITLE_LEAST) -> DataFrame:
     """(id, other, score): in each company, in order of id, a row that is still free takes the first later free one that is alike.
 
-    Greedy matching is sequential in a company; candidate pairs come from a join, only the matching walks.
+    Greedy matching is sequential in a company. Distinct titles are compared, by a blocked join; the walk then asks each
+    alike title for its next free row, so rows of equal titles never meet as pairs. Rows without a title match none.
     """
-    a, b = rows.alias("a"), rows.alias("b")
-    near = a.join(b, (F.col("a.company") == F.col("b.company")) & (F.col("a.id") < F.col("b.id"))).withColumn("score", dice(F.lower("a.title"), F.lower("b.title"))).where(F.col("score") >= least)
-    pairs = near.select(F.col("a.company").alias("company"), F.col("a.id").alias("id"), F.col("b.id").alias("other"), "score")
-
-    def greedy(pdf):
-        taken, keep = set(), []
-        for i, o in zip(*(pdf.sort_values(["id", "other"])[c] for c in ("id", "other"))):
-            if i not in taken and o not in taken:
-                taken |= {i, o}
-                keep.append((i, o))
-        return pdf.merge(pdf.__class__(keep, columns=["id", "other"]), on=["id", "other"])[["id", "other", "score"]]
-
-    return pairs.groupBy("company").applyInPandas(greedy, f"id {dict(rows.dtypes)['id']}, other {dict(rows.dtypes)['id']}, score double")
+    titled = rows.where("title is not null").select("company", "id", F.lower("title").alias("name"))
+    alike = similar_names(titled, titled, least, "company")
+    kind = dict(rows.dtypes)["id"]
+
+    def greedy(own, pairs):
+        near: dict[str, list] = {}
+        for a, b, score in zip(pairs["l"], pairs["r"], pairs["score"]):
+            near.setdefault(a, []).append((b, score))
+        own = own.sort_values("id")
+        waiting: dict[str, deque] = {}
+        for i, name in zip(own["id"], own["name"]):
+            waiting.setdefault(name, deque()).append(i)
+        taken, out = set(), []
+        for i, name in zip(own["id"], own["name"]):
+            if i in taken:
+                continue
+            best = None
+            for other, score in near[name]:
+                queue = waiting[other]
+                while queue and (queue[0] <= i or queue[0] in taken):
+                    queue.popleft()
+                if queue and (best is None or queue[0] < best[0]):
+                    best = queue[0], score
+            if best:
+                taken.add(best[0])
+                out.append((i, *best))
+        return own.__class__(out, columns=["id", "other", "score"])
+
+    return titled.groupBy("company").cogroup(alike.groupBy("company")).applyInPandas(greedy, f"id {kind}, other {kind}, score double")
 
 
 def feed_company(postings: DataFrame, job_sources: DataFrame, companies: DataFrame) -> DataFrame:

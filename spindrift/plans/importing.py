@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.score import curated_score
+from spindrift.operators.graph import components
 from spindrift.operators.merge import FLAGGED, changed_flagged, update_policy
-from spindrift.functions.similarity import dice
 from spindrift.operators.resolve import COMPANY_LEAST, TITLE_LEAST, match_opportunity, similar_names, tier_name
 from spindrift.session import materialize
 
@@ -31,7 +31,7 @@ def resolve_companies(drafts: DataFrame, companies: DataFrame) -> DataFrame:
     """(company_key, company_id, kind, first_row): existing companies before those that earlier rows of the file created.
 
     A name that is no one's creates a company, which later names may match. Only pairs of alike new names are walked
-    in order; all else is joined. companies: id, name_key.
+    in order, by component; all else is joined. companies: id, name_key.
     """
     names = drafts.where("error is null").groupBy(F.col("company_key").alias("name")).agg(F.min("row_number").alias("first_row"))
     known = companies.select("id", F.col("name_key").alias("name"))
@@ -42,23 +42,26 @@ def resolve_companies(drafts: DataFrame, companies: DataFrame) -> DataFrame:
     fresh = named.where("old_kind is null or old_kind = 'fuzzy'").select("name", "first_row", "old_score")
     among = similar_names(fresh, fresh, COMPANY_LEAST).where("l <> r")
     f1, f2 = fresh.select(F.col("name").alias("l"), F.col("first_row").alias("l_row"), F.col("old_score").alias("l_old")), fresh.select(F.col("name").alias("r"), F.col("first_row").alias("r_row"), F.col("old_score").alias("r_old"))
-    edges = among.join(f1, "l").join(f2, "r").where("r_row < l_row").withColumn("one", F.lit(1))
+    numbered = among.join(f1, "l").join(f2, "r").where("r_row < l_row")
+    # only names of one component of alike ones depend on each other; components are told by their least row
+    roots = components(numbered.select(F.col("l_row").alias("a"), F.col("r_row").alias("b")))
+    edges = numbered.join(roots, F.col("l_row") == F.col("node"))
 
     def walk(pdf):
         """Rows in order; a name follows the earlier created name it is most like, if that beats what existed before."""
         made = {r for r, old in zip(pdf["r"], pdf["r_old"]) if not old > 0}
         out = []
-        for name, part in pdf.sort_values("l_row").groupby("l", sort=False):
-            part = part[part["r"].isin(made)].sort_values(["score", "r_row"], ascending=[False, True])
-            best, old = (part.iloc[0] if len(part) else None), pdf[pdf["l"] == name]["l_old"].iloc[0]
-            if best is not None and not (old >= best["score"]):
-                out.append((name, best["r"]))
+        for name, part in pdf.sort_values(["l_row", "score", "r_row"], ascending=[True, False, True]).groupby("l", sort=False):
+            best = next(((r, score) for r, score in zip(part["r"], part["score"]) if r in made), None)
+            old = part["l_old"].iloc[0]
+            if best and not (old >= best[1]):
+                out.append((name, best[0]))
                 made.discard(name)
             elif not old > 0:
                 made.add(name)
         return pdf.__class__(out, columns=["name", "follows"])
 
-    follows = edges.groupBy("one").applyInPandas(walk, "name string, follows string")
+    follows = edges.groupBy("root").applyInPandas(walk, "name string, follows string")
     j = named.join(follows, "name", "left")
     own = lambda c: F.sha2(F.concat(F.lit("company|"), c), 256)
     kind = F.when(F.col("old_kind") == "exact", "exact").when(F.col("follows").isNotNull(), "fuzzy").otherwise(F.coalesce("old_kind", F.lit("new")))
@@ -98,14 +101,15 @@ def import_csv(drafts: DataFrame, companies: DataFrame, opportunities: DataFrame
     known = rows.where("match in ('same_url', 'strict_key')").join(e, F.col("matched_id") == F.col("__id"), "left")
     policy = F.when(F.col("e").isNull(), "update_fields").otherwise(update_policy(F.col("e.review_status"), F.col("e.public_safe")))
     known = known.withColumn("policy", policy).withColumn("d", F.struct(*FLAGGED))
-    updated = known.where("policy = 'update_fields'").select("row_number", "matched_id", "match", *[c for c in FLAGGED if c != "title"], "relevance")
+    kept_url = F.coalesce("posting_url", "e.posting_url").alias("posting_url")  # a row without a link takes none away
+    updated = known.where("policy = 'update_fields'").select("row_number", "matched_id", "match", *[kept_url if c == "posting_url" else c for c in FLAGGED if c != "title"], "relevance")
     touched = known.where("policy = 'touch_and_flag'").select("row_number", "matched_id", "match", changed_flagged("d", "e").alias("changed"))
     inserted = rows.where("match not in ('same_url', 'strict_key')").select(F.col("row_number"), new_id.alias("id"), "company_id", *FLAGGED, "dedupe_key", "family_key", "relevance", "match", "matched_id", F.lit("needs_review").alias("status"), F.lit("pending").alias("review_status"), F.lit(False).alias("public_safe"))
     task = lambda d, kind, about, notes: d.select("row_number", F.lit(kind).alias("type"), about.alias("entity_id"), notes.alias("notes"))
     tasks = task(touched.where("size(changed) > 0"), "changed_fields", F.col("matched_id"), F.array_join("changed", ", "))
     tasks = tasks.unionByName(task(inserted.where("match = 'family'"), "possible_repost", F.col("id"), F.col("matched_id")))
     tasks = tasks.unionByName(task(inserted.where("match = 'fuzzy'"), "possible_duplicate", F.col("id"), F.col("matched_id")))
-    tasks = tasks.unionByName(task(rows.where("company_kind = 'fuzzy' and row_number = first_row"), "possible_duplicate_company", F.col("company_id"), F.col("company_name")))
+    tasks = tasks.unionByName(task(rows.where("company_kind = 'fuzzy'"), "possible_duplicate_company", F.col("company_id"), F.col("company_name")))
     created = good.where("company_kind = 'new' and row_number = first_row").select(F.col("company_id").alias("id"), F.col("company_key").alias("name_key"), F.col("company_name").alias("name"))
     outcome = drafts.select("row_number", "error").join(rows.select("row_number", "match", "company_kind"), "row_number", "left").join(known.select("row_number", "policy"), "row_number", "left")
     audit = outcome.select("row_number", F.when(F.col("error").isNotNull(), "error").when(F.col("policy") == "touch_and_flag", "touched").when(F.col("policy").isNotNull(), "updated").otherwise("inserted").alias("outcome"), "error", "match")
@@ -116,12 +120,17 @@ def import_csv(drafts: DataFrame, companies: DataFrame, opportunities: DataFrame
 
 def match_opportunity_before(wanted: DataFrame, mine: DataFrame) -> DataFrame:
     """``match_opportunity`` of each row against inserted rows of the same file that come before it; the earliest stands first."""
-    m = mine.select(*[F.col(c).alias(f"m_{c}") for c in mine.columns])
+    # of the rows of one key, or of one title in a company, the earliest one alone can be the match
+    earliest = lambda *by: mine.groupBy(*by).agg(F.min(F.struct("born", "id")).alias("m"))
     tiers = []
     for rank, key in enumerate(("posting_url", "dedupe_key", "family_key"), 1):
-        tiers.append(wanted.join(m, (F.col(key) == F.col(f"m_{key}")) & (F.col("m_born") < F.col("draft_id"))).select("draft_id", "m_id", "m_born", F.lit(rank).alias("tier"), F.lit(1.0).alias("score")))
-    fuzzy = wanted.join(m, (F.col("company_id") == F.col("m_company_id")) & (F.col("m_born") < F.col("draft_id"))).withColumn("score", dice(F.lower("title"), F.lower("m_title"))).where(F.col("score") >= TITLE_LEAST)
-    every = fuzzy.select("draft_id", "m_id", "m_born", F.lit(4).alias("tier"), "score")
+        firsts = earliest(F.col(key).alias("m_key"))
+        tiers.append(wanted.join(firsts, (F.col(key) == F.col("m_key")) & (F.col("m.born") < F.col("draft_id"))).select("draft_id", F.col("m.id").alias("m_id"), F.col("m.born").alias("m_born"), F.lit(rank).alias("tier"), F.lit(1.0).alias("score")))
+    titled = earliest(F.col("company_id").alias("m_company"), F.lower("title").alias("m_name"))
+    named = lambda d, company, name: d.select(company.alias("c"), name.alias("name"))
+    alike = similar_names(named(wanted, F.col("company_id"), F.lower("title")), named(titled, F.col("m_company"), F.col("m_name")), TITLE_LEAST, "c")
+    fuzzy = wanted.join(alike, (F.col("company_id") == F.col("c")) & (F.lower("title") == F.col("l"))).join(titled, (F.col("c") == F.col("m_company")) & (F.col("r") == F.col("m_name")) & (F.col("m.born") < F.col("draft_id")))
+    every = fuzzy.select("draft_id", F.col("m.id").alias("m_id"), F.col("m.born").alias("m_born"), F.lit(4).alias("tier"), "score")
     for t in tiers:
         every = every.unionByName(t)
     best = every.withColumn("rn", F.row_number().over(Window.partitionBy("draft_id").orderBy("tier", F.desc("score"), "m_born"))).where("rn = 1")

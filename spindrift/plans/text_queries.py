@@ -155,15 +155,15 @@ def days_until_deadline(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.days_until(F.to_date("o_orderdate"), now()).alias("days"))
 
 
-#: The beginning of each document's second half of life: words of interest put behind a document's text.
+#: Words of interest that are put before a document's text.
 SIGNAL = "CASE doc_id % 12 WHEN 0 THEN 'unpaid stipend' WHEN 1 THEN '$18/hr remote' WHEN 2 THEN 'volunteer, not remote' WHEN 3 THEN 'hybrid internship' WHEN 4 THEN 'Full-time on-site research fellowship' WHEN 5 THEN 'remote and in-office' WHEN 6 THEN 'entry level PCR and sequencing' WHEN 7 THEN 'Interns wanted' WHEN 8 THEN 'scholarship award; part time co-op' WHEN 9 THEN 'Financial analyst, machine learning' WHEN 10 THEN 'immunology, oncology' ELSE '' END"
 
 
 def _signals(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(f"({SIGNAL}) || ' ' || left(text, 300)").alias("x"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(f"({SIGNAL}) || ' ' || text").alias("x"))
 
 
-_SIGNAL_SQL = f"(SELECT doc_id, ({SIGNAL}) || ' ' || left(text, 300) AS x FROM documents)"
+_SIGNAL_SQL = f"(SELECT doc_id, ({SIGNAL}) || ' ' || text AS x FROM documents)"
 _IS = lambda p, e="x": f"regexp_matches({e}, '(?i){p}')"
 
 
@@ -190,10 +190,10 @@ def employment_type(spark, sf_dir):
 _INT, _FEL = "\\bintern(ship)?\\b", "\\bfellowship\\b"
 
 
-@query(f"SELECT doc_id, CASE WHEN {_IS(_INT, 'c')} THEN 'internship' WHEN {_IS(_FEL, 'c')} THEN 'fellowship' WHEN {_IS('\\b(research|scientist|analyst)\\b', 'c')} THEN 'research' WHEN {_IS('\\b(entry.?level|new grad|new graduates?)\\b', 'c')} THEN 'entry_level' ELSE 'other' END AS kind, CASE WHEN {_IS(_INT, 'c')} THEN NOT {_IS(_INT, 't')} WHEN {_IS(_FEL, 'c')} THEN NOT {_IS(_FEL, 't')} ELSE true END AS inferred FROM (SELECT doc_id, t, concat_ws(' ', t, left(x, 500)) AS c FROM (SELECT doc_id, x, CASE WHEN doc_id % 2 = 0 THEN 'Summer Internship' ELSE 'Position' END AS t FROM {_SIGNAL_SQL} WHERE doc_id % 3 <> 0 OR doc_id % 2 = 1))")
+@query(f"SELECT doc_id, CASE WHEN {_IS(_INT, 'c')} THEN 'internship' WHEN {_IS(_FEL, 'c')} THEN 'fellowship' WHEN {_IS('\\b(research|scientist|analyst)\\b', 'c')} THEN 'research' WHEN {_IS('\\b(entry.?level|new grad|new graduates?)\\b', 'c')} THEN 'entry_level' ELSE 'other' END AS kind, CASE WHEN {_IS(_INT, 'c')} THEN NOT {_IS(_INT, 't')} WHEN {_IS(_FEL, 'c')} THEN NOT {_IS(_FEL, 't')} ELSE true END AS inferred FROM (SELECT doc_id, t, concat_ws(' ', t, left(x, 500)) AS c FROM (SELECT doc_id, x, CASE WHEN doc_id % 2 = 0 THEN 'Summer Internship' ELSE 'Position' END AS t FROM {_SIGNAL_SQL}))")
 def opportunity_class(spark, sf_dir):
     c = classify.opportunity_class(F.expr("case when doc_id % 2 = 0 then 'Summer Internship' else 'Position' end"), F.lit(None).cast("string"), F.col("x"))
-    return _signals(spark, sf_dir).where("doc_id % 3 <> 0 or doc_id % 2 = 1").select("doc_id", c["class"].alias("kind"), c["inferred"].alias("inferred"))
+    return _signals(spark, sf_dir).select("doc_id", c["class"].alias("kind"), c["inferred"].alias("inferred"))
 
 
 _FOCUS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(left(x, 1000), '(?i)\\b({p})\\b') THEN '{n}'" for n, p in classify.FOCUS.items()) + " END"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,38 @@ def payload_rows(fetched: DataFrame, stored: DataFrame | None = None) -> DataFra
 
 
 def write_payloads(rows: DataFrame, folder: str) -> None:
-    """Bodies as text, one folder a source and run; metadata as Parquet beside them."""
-    rows.select("source_id", "run_id", "body").write.partitionBy("source_id", "run_id").mode("append").text(f"{folder}/bodies")
+    """Bodies as objects at their content paths, byte for byte; then their metadata as Parquet beside them.
+
+    A path is made of the body's own hash, so a task that runs again writes the same bytes to the same place, and a run that broke off
+    before the metadata can be done again. ``folder`` is a URI or a path that all executors reach.
+    """
+
+    def put(batches):
+        fs, base = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for path, body in zip(batch.column("path").to_pylist(), batch.column("body").to_pylist()):
+                place = f"{base}/{path}"
+                fs.create_dir(place.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(place) as out:
+                    out.write(body.encode())
+            yield pa.RecordBatch.from_arrays([batch.column("path")], ["path"])
+
+    uri = _uri(f"{folder}/bodies")
+    rows.where("body is not null").select("path", "body").mapInArrow(put, "path string").write.format("noop").mode("overwrite").save()
     rows.drop("body").write.mode("append").parquet(f"{folder}/metadata")
 
 
+def _uri(folder: str) -> str:
+    return f"file://{folder}" if folder.startswith("/") else folder
+
+
+def read_payload(folder: str, path: str) -> str:
+    """One stored body, as it was."""
+    fs, base = pafs.FileSystem.from_uri(_uri(f"{folder}/bodies"))
+    with fs.open_input_stream(f"{base}/{path}") as f:
+        return f.read().decode()
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """One CSV file with a header; exports are small by nature, so order and one partition cost nothing."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -37,7 +37,7 @@ def test_same_as_sql(spark, data, duck, name):
 
 def test_every_query_has_a_home():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"duplicate_clusters_fuzzy", "feed_bridge"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"duplicate_clusters_fuzzy"}
 
 
 def test_filters_reach_the_scan(spark, data):

@@ -194,7 +194,7 @@ def test_greedy_clusters(spark, data):
     import __spark_entry__ as e
     from tests.test_functions import plain_dice
 
-    rows = spark.read.parquet(f"{data}/part.parquet").where("p_partkey < 500").select("p_partkey", "p_brand", "p_name").orderBy("p_partkey").collect()
+    rows = spark.read.parquet(f"{data}/part.parquet").select("p_partkey", "p_brand", "p_name").orderBy("p_partkey").collect()
     taken, expected = set(), set()
     for i, a in enumerate(rows):
         for b in rows[i + 1 :]:
@@ -250,3 +250,150 @@ def test_officer_decisions_keep_notes(spark):
     d = spark.createDataFrame([(1, "approve", "open_verified", None, " ok ")], "id int, action string, target_status string, duplicate_of int, notes string")
     r = merge.decide(rows, d, now()).first()
     assert (r["status"], r["review_status"], r["public_safe"], r["review_notes"]) == ("open_verified", "approved", True, "ok") and r["last_checked_at"] is not None
+
+
+def test_first_seen_is_kept(spark):
+    seed = spark.createDataFrame([("s", "k", dt.datetime(2026, 1, 1), "A", "open", dt.datetime(2025, 1, 1), '{"a":1}')], "source string, identity_key string, last_seen_at timestamp, hash string, current_status string, first_seen_at timestamp, content string")
+    rows = obs(spark, ("k", "r1", 5, "B", 50, "open"), ("k", "r2", 6, "C", 50, "open"), ("n", "r1", 5, "B", 50, "open")).withColumn("content", F.concat(F.lit('{"a":"'), "hash", F.lit('"}')))
+    done = state.outcomes(rows, seed)
+    assert {r["identity_key"]: r["first_seen_at"] for r in state.latest_state(done).collect()} == {"k": dt.datetime(2025, 1, 1), "n": dt.datetime(2026, 1, 6)}
+    got = {(r["identity_key"], r["run_id"]): r["field_diff"] for r in state.versions(done).collect()}
+    assert got == {("k", "r1"): '{"a":{"before":1,"after":"B"}}', ("k", "r2"): '{"a":{"before":"B","after":"C"}}', ("n", "r1"): "{}"}
+
+
+VALUES = [
+    ('{"a":1}', '{"a":"1"}', {"a": ("1", "1")}), ('{"o":{"x":1,"y":2}}', '{"o":{"y":2,"x":1}}', {}), ('{"l":[1,2]}', '{"l":[2,1]}', {"l": ("[1,2]", "[2,1]")}), ('{"a":1}', '{"a":1.0}', {}), ('{"a":null}', "{}", {}), ('{"a":true}', '{"a":"true"}', {"a": ("true", "true")}),
+    (None, '{"a":1}', {"a": (None, "1")}), ('{"a":"x"}', None, {"a": ("x", None)}), ("{}", "{}", {}),
+]
+
+
+def test_json_values_differ_by_type(spark):
+    df = spark.createDataFrame([(i, b, a) for i, (b, a, _) in enumerate(VALUES)], "k int, x string, y string")
+    got = {i: {} for i in range(len(VALUES))}
+    for r in state.variant_diff(df, "k", "x", "y").collect():
+        got[r["k"]][r["field"]] = (r["before"], r["after"])
+    assert got == {i: f for i, (_, _, f) in enumerate(VALUES)}
+    assert {r["k"]: set(json.loads(r["d"])) for r in df.select("k", state.object_diff("x", "y").alias("d")).collect()} == {i: set(f) for i, f in got.items()}
+
+
+FLAGS = ", ".join(f"{c} {'date' if c == 'deadline' else 'string'}" for c in merge.FLAGGED)
+
+
+def listing(i, **kw):
+    base = dict.fromkeys(merge.FLAGGED) | {"id": i, "company_id": "c1", "status": "needs_review", "review_status": "pending", "public_safe": False, "title": "Lab Intern", "posting_url": f"u{i}", "dedupe_key": f"d{i}", "family_key": f"f{i}"}
+    return base | kw
+
+
+def bridged(spark, opportunities, postings):
+    o = spark.createDataFrame(opportunities, f"id string, company_id string, status string, review_status string, public_safe boolean, dedupe_key string, family_key string, {FLAGS}")
+    p = spark.createDataFrame([dict.fromkeys(merge.FLAGGED) | {"title": "Lab Intern", "employer": "Acme", "company_id": "c1", "material_changed": False, "score": 50, "company_kind": "exact"} | x for x in postings], f"identity_key string, canonical_url string, employer string, company_id string, material_changed boolean, score int, company_kind string, {', '.join(f for f in FLAGS.split(', ') if not f.startswith('posting_url'))}")
+    return ingesting.bridge(p.drop("posting_url"), o)
+
+
+STATES = [
+    ({}, False, ("update", None, "exact")), ({}, True, ("update", None, "exact")), ({"review_status": "rejected"}, False, ("touch", None, "exact")), ({"review_status": "rejected"}, True, ("touch", "source_changed", "exact")),
+    ({"review_status": "approved"}, False, ("touch", None, "exact")), ({"review_status": "approved", "public_safe": True, "location": "Irvine"}, False, ("touch", "source_changed", "exact")), ({"status": "closed"}, True, ("touch", "source_changed", "exact")),
+    ({"status": "expired", "location": "x"}, False, ("touch", "source_changed", "exact")), ({"status": "broken_link"}, False, ("touch", None, "exact")), ({"status": "hidden"}, False, ("insert", None, "exact")), ({"status": "duplicate"}, True, ("insert", None, "exact")),
+]
+
+
+def test_protected_listings_stay(spark):
+    have = [listing(str(i), company_id=f"c{i}", **change) for i, (change, _, _) in enumerate(STATES)]
+    new = [{"identity_key": f"k{i}", "canonical_url": f"u{i}", "company_id": f"c{i}", "material_changed": news} for i, (_, news, _) in enumerate(STATES)]
+    got = {r["identity_key"]: (r["action"], r["task"], r["link_type"]) for r in bridged(spark, have, new).collect()}
+    assert got == {f"k{i}": expected for i, (_, _, expected) in enumerate(STATES)}
+
+
+def test_bridge_links_and_pending_listings(spark):
+    have = [listing("1", posting_url="a", family_key="acme|lab intern"), listing("2", posting_url="b", title="Lab Interns", company_id="c2")]
+    new = [{"identity_key": "fam", "canonical_url": "x"}, {"identity_key": "fuz", "canonical_url": "y", "employer": "Other", "company_id": "c2"}, {"identity_key": "one", "canonical_url": "z", "title": "Chemist"}, {"identity_key": "two", "canonical_url": "z", "title": "Chemist", "company_kind": "fuzzy"}, {"identity_key": "low", "canonical_url": "w", "title": "Driver", "score": 34}]
+    actions = bridged(spark, have, new)
+    got = {r["identity_key"]: (r["action"], r["task"], r["link_type"], r["primary"]) for r in actions.collect()}
+    assert got == {"fam": ("link", "possible_repost", "annual_family", False), "fuz": ("link", "possible_duplicate", "probable", False), "one": ("insert", None, "exact", True), "two": ("insert", "possible_duplicate", "exact", True), "low": ("none", None, None, False)}
+    links = spark.createDataFrame([("1", "fam", "annual_family", False), ("2", "z", "exact", True)], "opportunity_id string, posting_id string, match_type string, is_primary boolean")
+    new = {r["posting_id"]: (r["match_type"], r["is_primary"]) for r in ingesting.new_links(actions, links).collect()}
+    assert new == {"fuz": ("probable", False), "one": ("exact", True), "two": ("exact", False)}
+
+
+def test_runs_are_admitted_once(spark):
+    runs = spark.createDataFrame([("a", "s", "running", None, None), ("b", "s", "completed", None, None), ("c", "s", "failed", "unexpected", '{"persistenceError":1}'), ("d", "s", "failed", "timeout", '{"persistenceError":1}'), ("e", "s", "queued", None, None), ("f", "t", "running", None, None), ("g", "s", "cancelled", None, None)], "id string, source string, status string, error_class string, log string")
+    fetches = spark.createDataFrame([(x, "s") for x in "abcdefgh"], "run_id string, source string")
+    got = {r["run_id"]: r["refused"] for r in ingesting.admit_runs(fetches, runs).collect()}
+    assert got == {"a": None, "b": "finalized", "c": None, "d": "finalized", "e": "not_running", "f": "wrong_source", "g": "finalized", "h": "not_found"}
+
+
+def test_from_payloads_to_listings(spark, payloads):
+    """Two runs of one board: a landed file each, the second with a posting changed and one less sure of its employer."""
+    first = payloads(a={"jobs": [job(1), job(2, title="Driver", content="drive", departments=[], location={"name": "Boston, MA"}, application_deadline=None)]})
+    rows = jobs_json.postings(first, "labco", now()).unionByName(jobs_json.postings(payloads(b={"jobs": [job(1, title="Genomics Research Intern")]}).where("path like '%b.json'"), "labco", now()))
+    run = F.when(F.col("path").endswith("a.json"), "r1").otherwise("r2")
+    p = rows.where("issue is null").select(run.alias("run_id"), "identity_key", F.row_number().over(resolve.Window.orderBy("path", "identity_key")).cast("bigint").alias("seq"), F.when(run == "r1", F.expr("timestamp '2026-07-01 10:00:00'")).otherwise(F.expr("timestamp '2026-07-02 10:00:00'")).alias("observed_at"), F.col("material_hash").alias("hash"), F.col("score.total").alias("score"), F.lit("open").alias("status"), F.to_json(F.struct("title", "location")).alias("content"), F.lit("Lab Company Inc.").alias("employer"), F.col("title_raw").alias("title"), "canonical_url", F.col("location_raw").alias("location"), "focus_area", F.col("closes_at").alias("deadline"), *[F.lit(None).cast("string").alias(c) for c in ("eligibility", "deadline_text", "paid_status", "application_type", "source_status_raw")])
+    fetches = spark.createDataFrame([("r1", "src", True, 2, 0, 0), ("r2", "src", True, 1, 0, 1), ("r3", "src", True, 1, 0, 0)], "run_id string, source string, ok boolean, seen bigint, issues int, skipped int")
+    runs = spark.createDataFrame([(r, "src", s, None, None) for r, s in (("r1", "running"), ("r2", "running"), ("r3", "completed"))], "id string, source string, status string, error_class string, log string")
+    sources = spark.createDataFrame([("src", None)], "id string, company_id string")
+    companies = spark.createDataFrame([("c1", "else")], "id string, name string")
+    none = spark.createDataFrame([], f"id string, company_id string, status string, review_status string, public_safe boolean, dedupe_key string, family_key string, {FLAGS}")
+    r = ingesting.persist(fetches, p, runs, sources, companies, none)
+    assert {tuple(x) for x in r.runs.collect()} == {("r1", "src", "completed", 2, 2, 0, 0, 1, 0), ("r2", "src", "partial", 1, 0, 1, 0, 1, 0)}
+    assert [x["name_key"] for x in r.new_companies.collect()] == ["lab company"]
+    assert sorted(x["action"] for x in r.actions.collect()) == ["insert", "none"]
+    made = r.created.first()
+    assert r.created.count() == 1 and (made["title"], made["status"], made["public_safe"]) == ("Genomics Research Intern", "needs_review", False) and made["company_id"] == r.new_companies.first()["id"]
+    assert [(x["match_type"], x["is_primary"]) for x in r.links.collect()] == [("exact", True)]
+    diffs = {x["field_diff"] for x in r.ingest.versions.where("run_id = 'r2'").collect()}
+    assert diffs == {'{"title":{"before":"genomics intern","after":"genomics research intern"}}'}
+
+
+def test_a_company_task_for_each_fuzzy_row(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("Company Name,Title,Link\nAcme Laboratories,Chemist,https://a.example.com/1\nAcme Laboratories,Analyst,https://a.example.com/2\nAcme Laboratories,Old,\n")
+    drafts = csv_rows.drafts(csv_rows.read_csv(spark, str(tmp_path / "x.csv")))
+    companies = spark.createDataFrame([("c1", "acme laboratory")], "id string, name_key string")
+    key = next(r["dedupe_key"] for r in drafts.collect() if r["title"] == "Old")
+    old = spark.createDataFrame([{"id": "o1", "company_id": "c1", "review_status": "pending", "public_safe": False, **dict.fromkeys(merge.FLAGGED), "title": "Old", "posting_url": "https://kept.example.com/", "dedupe_key": key, "family_key": "f"}], f"id string, company_id string, review_status string, public_safe boolean, dedupe_key string, family_key string, {FLAGS}")
+    r = importing.import_csv(drafts, companies, old, now())
+    assert r.tasks.where("type = 'possible_duplicate_company'").count() == 3
+    assert [x["posting_url"] for x in r.updated.collect()] == ["https://kept.example.com/"]
+
+
+def test_alike_new_companies_in_order(spark):
+    names = ["brand new labs", "brand new lab", "other house", "brand new labz", "otherhouse", "quite apart"]
+    drafts = spark.createDataFrame([(i + 2, n, None) for i, n in enumerate(names)], "row_number int, company_key string, error string")
+    got = {r["company_key"]: (r["kind"], r["company_id"]) for r in importing.resolve_companies(drafts, spark.createDataFrame([], "id string, name_key string")).collect()}
+    assert [got[n][0] for n in names] == ["new", "fuzzy", "new", "fuzzy", "fuzzy", "new"]
+    assert got["brand new lab"][1] == got["brand new labz"][1] == got["brand new labs"][1] and got["otherhouse"][1] == got["other house"][1]
+
+
+def test_payloads_by_content(spark, tmp_path):
+    bodies = ["a\nb\r\n", "", "é 日本\n", "a\nb\r\n"]
+    rows = spark.createDataFrame([("s", f"r{i % 3}", f"u{i}", b) for i, b in enumerate(bodies)] + [("s", "r9", "u", None)], "source_id string, run_id string, url string, body string")
+    stored = sinks.payload_rows(rows)
+    for _ in range(2):  # again, as after a run that broke off
+        sinks.write_payloads(stored, str(tmp_path))
+    for r in stored.where("body is not null").collect():
+        assert sinks.read_payload(str(tmp_path), r["path"]) == r["body"]
+    assert spark.read.parquet(str(tmp_path / "metadata")).columns == [c for c in stored.columns if c != "body"]
+
+
+def test_company_is_published_with_its_listing(spark):
+    companies = spark.createDataFrame([(i, i == 4) for i in range(1, 6)], "id int, public_safe boolean")
+    rows = spark.createDataFrame([(10, 1), (11, 2), (12, 3), (13, None)], "id int, company_id int")
+    d = spark.createDataFrame([(10, "approve", "open_verified", True), (11, "approve", "open_verified", False), (12, "approve", "expired", True), (13, "approve", "open_unverified", True)], "id int, action string, target_status string, make_company_public boolean")
+    assert {r["id"] for r in merge.publish_companies(companies, rows, d).where("public_safe").collect()} == {1, 4}
+
+
+def test_similar_names_within_groups(spark):
+    from tests.test_functions import plain_dice
+
+    rows = [(g, n) for g in ("x", "y", None) for n in ("lab intern", "lab interns", "lab internship", "chemist", "ab", "a", "", None)] + [("z", "lab interns"), ("z", "laboratory intern")]
+    df = spark.createDataFrame(rows, "g string, name string")
+    got = {(r["g"], r["l"], r["r"]) for r in resolve.similar_names(df, df, 0.8, "g").where("g is not null").collect()}
+    assert got == {(g, a, b) for g, a in rows for h, b in rows if g and g == h and a is not None and b is not None and (a == b or plain_dice(a, b) >= 0.8)}
+
+
+def test_components(spark):
+    from spindrift.operators.graph import components
+
+    edges = [(i, i + 1) for i in range(40, 90)] + [(1, 2), (3, 2), (9, 9), (None, 4), (7, 5), (100, 7)] + [(200, i) for i in range(201, 260)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == {i: 40 for i in range(41, 91)} | {2: 1, 3: 1, 7: 5, 100: 5} | {i: 200 for i in range(201, 260)}
+    assert components(spark.createDataFrame([], "a int, b int")).count() == 0

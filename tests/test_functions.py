@@ -109,3 +109,13 @@ def test_dice_known_values(spark):
 def test_canonical_url_is_stable(spark, urls):
     once = apply(spark, url.canonical_url_exact, urls)
     assert apply(spark, url.canonical_url_exact, once) == once
+
+
+def test_case_insensitive_key_and_board_url(spark):
+    from spindrift.functions import text, url
+
+    df = spark.createDataFrame([("  Café  BAR ",), (None,)], "x string")
+    assert [r["k"] for r in df.select(text.case_insensitive_key(F.col("x")).alias("k")).collect()] == ["café bar", None]
+    assert url.board_url(" LabCo ").endswith("/v1/boards/labco/jobs?content=true")
+    with pytest.raises(ValueError):
+        url.board_url("https://x/labco")
