@@ -324,7 +324,7 @@ def test_runs_are_admitted_once(spark):
 
 def test_from_payloads_to_listings(spark, payloads):
     """Two runs of one board: a landed file each, the second with a posting changed and one less sure of its employer."""
-    first = payloads(a={"jobs": [job(1), job(2, title="Driver", content="drive", departments=[], location={"name": "Boston, MA"}, application_deadline=None)]})
+    first = payloads(a={"jobs": [job(1), job(2, title="Senior Director", content="lead", departments=[], location={"name": "Boston, MA"}, application_deadline=None)]})
     rows = jobs_json.postings(first, "labco", now()).unionByName(jobs_json.postings(payloads(b={"jobs": [job(1, title="Genomics Research Intern")]}).where("path like '%b.json'"), "labco", now()))
     run = F.when(F.col("path").endswith("a.json"), "r1").otherwise("r2")
     p = rows.where("issue is null").select(run.alias("run_id"), "identity_key", F.row_number().over(resolve.Window.orderBy("path", "identity_key")).cast("bigint").alias("seq"), F.when(run == "r1", F.expr("timestamp '2026-07-01 10:00:00'")).otherwise(F.expr("timestamp '2026-07-02 10:00:00'")).alias("observed_at"), F.col("material_hash").alias("hash"), F.col("score.total").alias("score"), F.lit("open").alias("status"), F.to_json(F.struct("title", "location")).alias("content"), F.lit("Lab Company Inc.").alias("employer"), F.col("title_raw").alias("title"), "canonical_url", F.col("location_raw").alias("location"), "focus_area", F.col("closes_at").alias("deadline"), *[F.lit(None).cast("string").alias(c) for c in ("eligibility", "deadline_text", "paid_status", "application_type", "source_status_raw")])
@@ -356,11 +356,11 @@ def test_a_company_task_for_each_fuzzy_row(spark, tmp_path):
 
 
 def test_alike_new_companies_in_order(spark):
-    names = ["brand new labs", "brand new lab", "other house", "brand new labz", "otherhouse", "quite apart"]
+    names = ["brand new labs", "brand new lab", "other house", "brand new labz", "other houses", "quite apart"]
     drafts = spark.createDataFrame([(i + 2, n, None) for i, n in enumerate(names)], "row_number int, company_key string, error string")
     got = {r["company_key"]: (r["kind"], r["company_id"]) for r in importing.resolve_companies(drafts, spark.createDataFrame([], "id string, name_key string")).collect()}
     assert [got[n][0] for n in names] == ["new", "fuzzy", "new", "fuzzy", "fuzzy", "new"]
-    assert got["brand new lab"][1] == got["brand new labz"][1] == got["brand new labs"][1] and got["otherhouse"][1] == got["other house"][1]
+    assert got["brand new lab"][1] == got["brand new labz"][1] == got["brand new labs"][1] and got["other houses"][1] == got["other house"][1]
 
 
 def test_payloads_by_content(spark, tmp_path):
