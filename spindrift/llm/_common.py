@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: positional columns, components, slices.
+"""Helpers shared by the corpus operators: positional columns, slices, caches.
 
 Texts go to Python in Arrow batches that Spark bounds by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless
 set), so that long texts don't add up; no operator changes a setting of the session for it.
@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators.graph import components  # noqa: F401
 from spindrift.session import discard, materialize, release, shared_path, stored  # noqa: F401
 
 def pick(df: DataFrame, **names: str) -> DataFrame:
@@ -53,36 +54,6 @@ class Positional:
         return df.select(*[f"__c{i}" for i, _ in kept], *extra).toDF(*[n for _, n in kept], *extra)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected ``edges`` (a, b): rows (node, root) for nodes that aren't their own root.
-
-    Alternating large-star and small-star steps over narrow rows; root is the least id of a component. Each round is
-    written to the shared folder, so no lineage grows, and the table of the round before is deleted then. Least
-    neighbours come from aggregates, which combine before they shuffle, and from joins, which are split where a node has very
-    many neighbours. Rows with a null or a self loop add nothing.
-    """
-    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, path = stored(e, "edges")
-    mark = None
-    while True:
-        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if mark == tuple(now) or now[0] == 0:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = tuple(now)
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # both ends of an edge go to the least neighbour of its lesser end
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = e.select(F.col("v").alias("u"), F.col("u").alias("far")).join(least, "u").select(F.col("far").alias("u"), F.least("u", "m").alias("v"))
-        large = large.where("u <> v").distinct()
-        large, between = stored(large, "stars")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e, new = stored(small.where("u <> v").distinct(), "edges")
-        discard(e.sparkSession, path)
-        discard(e.sparkSession, between)
-        path = new
-
-
 def slices(sizes, limit: int):
     """(start, end) runs of rows whose sizes add up to about ``limit`` at most; a larger row stands alone."""
     start, total = 0, 0

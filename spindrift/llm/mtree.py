@@ -1,36 +1,58 @@
 """Exact top-k search in M-trees: paged metric nodes with covering radii and parent distances, best first.
 
 The vectors are parted by their nearest pivot; each part is one M-tree, whose routing object at the top is the pivot.
-Trees are tables of pages in the shared folder. A query first searches the tree that it lives in. The distance of its
-k-th neighbour there then rules out every tree that lies farther away than that, by pivot distance and covering
-radius; it goes to the others with that bound. In a tree, nodes are taken by their least possible distance. Entries of a
-page are sorted by their distance to the page's centre, so those that the triangle inequality rules out are cut off at
-either end without computing a distance.
+Trees are tables of pages in the shared folder. A task takes some thousand queries that live in one tree, searches that
+tree first, and then the others by their least possible distance, reading the pages of those alone that the distances found so
+far, pivot distance and covering radius don't rule out. In a tree each query takes nodes by their least possible distance; queries
+that are at the same node share its page. Entries of a page are sorted by their distance to the page's centre, so those that the
+triangle inequality rules out are cut off at either end without computing a distance.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import materialize
-from spindrift.llm.sortpass import matrix, usable
+from spindrift.llm._common import materialize, shared_path
+from spindrift.llm.sortpass import by_length, matrix, usable
 
-PAGE, TREE_ROWS, SLICE_QUERIES = 512, 8192, 8192
+PAGE, TREE_ROWS, SLICE_QUERIES, PIVOT_BYTES = 512, 8192, 2048, 64 << 20
 _EPS = 1e-9
 _PAGE_SCHEMA = "tree int, page int, leaf boolean, refs array<bigint>, vecs array<double>, parent array<double>, radius array<double>"
-_FOUND = "query_id bigint, neighbor_id bigint, distance double"
+_FOUND = "query_id bigint, neighbor_id bigint, rank int, distance double"
 
 
 def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - q) ** 2).sum(1))
 
 
+class Best:
+    """The k nearest so far of some queries: rows of distances and ids in order, infinite and -1 where there are fewer."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.d, self.i = k, np.full((queries, k), np.inf), np.full((queries, k), -1)
+
+    @property
+    def bound(self) -> np.ndarray:
+        return self.d[:, -1]
+
+    def add(self, q: np.ndarray, d: np.ndarray, i: np.ndarray) -> None:
+        """Take in neighbours (query, distance, id); ties by id."""
+        own = np.unique(q)
+        q = np.concatenate([q, np.repeat(own, self.k)])
+        d, i = np.concatenate([d, self.d[own].ravel()]), np.concatenate([i, self.i[own].ravel()])
+        order = np.lexsort((i, d, q))
+        first = np.searchsorted(q[order], own)
+        on = order[(first[:, None] + np.arange(self.k)).ravel()]
+        self.d[own], self.i[own] = d[on].reshape(-1, self.k), i[on].reshape(-1, self.k)
+
+
 class Tree:
     """Pages of an M-tree over rows (ids, x). A page is (leaf, refs, vectors, parent distances, covering radii)."""
 
@@ -75,41 +97,66 @@ class Tree:
 
     def search(self, q: np.ndarray, k: int, to_root: float, bound: float = np.inf, own: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """(distances, ids, distances computed) of the k nearest within ``bound``, ties by id, ``own`` left out."""
-        qq = float(q @ q)
-        best_d, best_i = np.zeros(0), np.zeros(0, np.int64)
-        heap, computed = [(0.0, 0, to_root)], 0
-        while heap:
-            low, at, to_center = heapq.heappop(heap)
-            if low > bound + _EPS:
-                break
-            leaf, refs, vecs, parent, radii = self.pages[at]
-            if leaf:
-                lo, hi = np.searchsorted(parent, (to_center - bound - _EPS, to_center + bound + _EPS))
-                if lo >= hi:
+        best = Best(1, k)
+        computed = self.search_all(q[None], np.array([-1 if own is None else own]), best, np.array([to_root]), np.array([bound]))
+        n = int((best.i[0] >= 0).sum())
+        return best.d[0, :n], best.i[0, :n], computed
+
+    def search_all(self, x: np.ndarray, own: np.ndarray, best: Best, to_root: np.ndarray, bound: np.ndarray | None = None) -> int:
+        """Bring ``best`` up to date for all queries ``x``, whose own ids are left out; returns the number of distances computed.
+
+        Each round every query that has a node left within its bound takes its nearest one.
+        """
+        most = np.full(len(x), np.inf) if bound is None else bound
+        qq = (x * x).sum(1)
+        low, center = np.full((len(x), len(self.pages)), np.inf), np.zeros((len(x), len(self.pages)))
+        low[:, 0], center[:, 0] = 0, to_root
+        computed = 0
+        while True:
+            limit = np.minimum(best.bound, most)
+            at = low.argmin(1)
+            least = low[np.arange(len(x)), at]
+            on = np.flatnonzero(np.isfinite(least) & (least <= limit + _EPS))
+            if not len(on):
+                return computed
+            on = on[np.argsort(at[on], kind="stable")]
+            for rows in np.split(on, np.flatnonzero(np.diff(at[on])) + 1):
+                node = at[rows[0]]
+                low[rows, node] = np.inf
+                leaf, refs, vecs, parent, radii = self.pages[node]
+                if not leaf:
+                    d = np.sqrt(((x[rows, None] - vecs) ** 2).sum(2))
+                    near = np.abs(center[rows, node, None] - parent) - radii <= limit[rows, None] + _EPS
+                    computed += int(near.sum())
+                    floor = np.maximum(np.maximum(d - radii, least[rows, None]), 0.0)
+                    low[rows[:, None], refs] = np.where(near & (floor <= limit[rows, None] + _EPS), floor, np.inf)
+                    center[rows[:, None], refs] = d
                     continue
-                computed += hi - lo
-                square = self.norms[at][lo:hi] - 2 * (vecs[lo:hi] @ q) + qq
-                on = np.flatnonzero(square <= bound * bound + 1e-7 * (1 + qq)) + lo if bound < np.inf else np.arange(lo, hi)
-                if len(on):
-                    if len(on) > 4 * k:  # the k-th of these bounds what must be exact
-                        on = on[square[on - lo] <= np.partition(square[on - lo], k)[k] + 1e-7 * (1 + qq)]
-                    d, i = np.concatenate([best_d, _distances(vecs[on], q)]), np.concatenate([best_i, refs[on]])
-                    if own is not None:
-                        other = i != own
-                        d, i = d[other], i[other]
-                    order = np.lexsort((i, d))[:k]
-                    best_d, best_i = d[order], i[order]
-                    if len(order) == k:
-                        bound = min(bound, best_d[-1])
-            else:
-                on = np.flatnonzero(np.abs(to_center - parent) - radii <= bound + _EPS)
-                computed += len(on)
-                d = _distances(vecs[on], q)
-                for j, dist in zip(on, d):
-                    least = max(dist - radii[j], low, 0.0)
-                    if least <= bound + _EPS:
-                        heapq.heappush(heap, (least, int(refs[j]), float(dist)))
-        return best_d, best_i, computed
+                rows = rows[np.argsort(center[rows, node], kind="stable")]  # alike ranges side by side
+                for part in np.array_split(rows, -(-len(rows) // 256)):
+                    lo = np.searchsorted(parent, center[part, node] - limit[part] - _EPS)
+                    hi = np.searchsorted(parent, center[part, node] + limit[part] + _EPS)
+                    part, lo, hi = part[lo < hi], lo[lo < hi], hi[lo < hi]
+                    if len(part):
+                        computed += int((hi - lo).sum())
+                        self._leaf(node, x, qq, own, best, part, int(lo.min()), int(hi.max()), limit[part])
+
+    def _leaf(self, node: int, x: np.ndarray, qq: np.ndarray, own: np.ndarray, best: Best, rows: np.ndarray, lo: int, hi: int, limit: np.ndarray) -> None:
+        _, refs, vecs, _, _ = self.pages[node]
+        square = self.norms[node][lo:hi] - 2 * (x[rows] @ vecs[lo:hi].T) + qq[rows, None]
+        slack = 1e-7 * (1 + qq[rows])
+        top = np.minimum(limit, 1e150) ** 2 + slack
+        hit = square <= top[:, None]
+        many = np.flatnonzero(hit.sum(1) > 4 * best.k)
+        if len(many):  # the k-th of these, the query itself apart, bounds what must be exact
+            top[many] = np.minimum(top[many], np.partition(square[many], best.k, axis=1)[:, best.k] + slack[many])
+            hit = square <= top[:, None]
+        q, e = np.nonzero(hit)
+        ids = refs[lo:hi][e]
+        other = ids != own[rows[q]]
+        q, e, ids = rows[q[other]], e[other], ids[other]
+        if len(q):
+            best.add(q, _distances(vecs[lo:hi][e], x[q]), ids)
 
 
 def _to_pages(tree: int, t: Tree) -> pa.Table:
@@ -129,85 +176,83 @@ def _from_pages(table: pa.Table) -> Tree:
     return Tree(pages)
 
 
-def _hits(queries, found) -> pa.Table:
-    n = [len(f[0]) for f in found]
-    empty = np.zeros(0)
-    return pa.table({"query_id": pa.array(np.repeat(np.asarray(queries, np.int64), n)), "neighbor_id": pa.array(np.concatenate([empty.astype(np.int64), *[f[1] for f in found]])), "distance": pa.array(np.concatenate([empty, *[f[0] for f in found]]))})
+def _pivots(rows: DataFrame, tree_rows: int) -> dict[int, np.ndarray]:
+    """Of each length one vector for every ``tree_rows``, by the least hashes of their ids; fewer where they would pass PIVOT_BYTES."""
+    count = {r["n"]: r["count"] for r in rows.groupBy("n").count().collect()}
+    size = sum(n * 8 * c for n, c in count.items()) / tree_rows
+    wanted = [(n, max(1, math.ceil(c / (tree_rows * max(1.0, size / PIVOT_BYTES)))), c) for n, c in count.items()]
+    plan = rows.sparkSession.createDataFrame([(n, t, min(1.0, (2 * t + 50) / c)) for n, t, c in wanted] or [(0, 0, 0.0)], "n int, trees int, share double")
+    chance = F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    few = rows.join(plan, "n").where(chance < F.col("share"))
+    rank = F.row_number().over(Window.partitionBy("n").orderBy(chance, "id"))
+    picked = few.withColumn("rank", rank).where("rank <= trees").select("n", "rank", "vec").toPandas().sort_values(["n", "rank"])
+    return {int(n): np.stack(part["vec"].map(np.asarray).to_list()) for n, part in picked.groupby("n")}
 
 
 def knn(df: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", page: int = PAGE, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """(query_id, neighbor_id, rank, distance): for every vector its ``k`` nearest others by Euclidean distance, exactly.
+    """(query_id, neighbor_id, rank, distance): for every vector its ``k`` nearest others of its length by Euclidean distance, exactly.
 
-    Ties go to the lesser id. With fewer than ``k`` others there are fewer rows. Vectors that are null, empty, of an
-    uncommon length, or have null, NaN or infinite parts are neither queries nor neighbours; equal vectors are
-    neighbours at distance 0; an id that repeats counts once. Other columns are ignored; an empty table gives no rows.
+    Ties go to the lesser id. With fewer than ``k`` others there are fewer rows. Vectors that are null, empty, or have null, NaN or
+    infinite parts are neither queries nor neighbours; equal vectors are neighbours at distance 0; an id that repeats
+    counts once. Other columns are ignored; an empty table gives no rows.
 
-    Scale: pivots (one per ``tree_rows`` vectors) are all that is broadcast. Each tree meets queries in slices of some
-    thousands, so that neither side of a task grows with the data. Where distances concentrate, as in many
-    dimensions, bounds rule out little and the work is that of comparing all pairs; no method that is exact avoids that.
+    Scale: vectors are shuffled to their tree and to their slice of queries, once each; pages are read from the shared folder by the
+    tasks that need them. What is broadcast is the pivots, bounded by PIVOT_BYTES. Where distances concentrate, as in
+    many dimensions, bounds rule out little and the work is that of comparing all pairs; no method that is exact avoids that.
     """
     spark = df.sparkSession
     rows = materialize(usable(df, id_col, vec_col), "vectors")
-    n = rows.count()
-    trees = max(1, math.ceil(n / tree_rows))
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(trees).select("vec").toPandas()
-    if not len(picked):
-        return spark.createDataFrame([], "query_id bigint, neighbor_id bigint, rank int, distance double")
-    pivots = spark.sparkContext.broadcast(np.stack(picked["vec"].map(np.asarray).to_list()))
-
-    def to_pivots(x: np.ndarray) -> np.ndarray:
-        return np.stack([_distances(x, p) for p in pivots.value], axis=1)
+    by = _pivots(rows, tree_rows)
+    if not by:
+        return spark.createDataFrame([], _FOUND)
+    first = dict(zip(by, np.cumsum([0, *map(len, by.values())]).tolist()))
+    shared = spark.sparkContext.broadcast(by)
 
     def assign(batches):
         for batch in batches:
-            if batch.num_rows:
-                d = to_pivots(matrix(batch.column(1)))
+            for n, part in by_length(batch, 1):
+                d = np.stack([_distances(matrix(part.column(2)), p) for p in shared.value[n]], axis=1)
                 near = d.argmin(1)
-                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), batch.column(0), batch.column(1), pa.array(d[np.arange(len(d)), near])], ["tree", "id", "vec", "away"])
+                yield pa.RecordBatch.from_arrays([pa.array((near + first[n]).astype(np.int32)), *(part.column(i) for i in range(3)), pa.array(d[np.arange(len(d)), near])], ["tree", "id", "n", "vec", "away"])
 
-    assigned = materialize(rows.mapInArrow(assign, "tree int, id bigint, vec array<double>, away double"), "assigned")
-    reach = {r["tree"]: r["away"] for r in assigned.groupBy("tree").agg(F.max("away").alias("away")).collect()}
+    assigned = materialize(rows.mapInArrow(assign, "tree int, id bigint, n int, vec array<double>, away double"), "assigned")
+    extent = {r["tree"]: (r["away"], r["n"], r["count"]) for r in assigned.groupBy("tree", "n").agg(F.max("away").alias("away"), F.count("*").alias("count")).collect()}
 
     def build(table: pa.Table) -> pa.Table:
-        tree = table["tree"][0].as_py()
-        return _to_pages(tree, Tree.build(table["id"].to_numpy(), matrix(table["vec"]), pivots.value[tree], page))
-
-    pages = materialize(assigned.groupBy("tree").applyInArrow(build, _PAGE_SCHEMA), "pages")
-    slices_each = max(1, math.ceil(n / SLICE_QUERIES))
-    sliced = lambda d: d.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices_each)).cast("int"))
-
-    def search(queries: pa.Table, own_pages: pa.Table) -> pa.Table:
-        if not queries.num_rows or not own_pages.num_rows:
-            return _hits([], [])
-        tree, t = own_pages["tree"][0].as_py(), _from_pages(own_pages)
-        x, ids, bound = matrix(queries["vec"]), queries["id"].to_numpy(), queries["bound"].to_numpy()
-        away = _distances(x, pivots.value[tree])
-        return _hits(ids, [t.search(x[i], k, away[i], bound[i], int(ids[i])) for i in range(len(ids))])
-
-    def meet(queries: DataFrame) -> DataFrame:
-        wanted = queries.select(F.col("tree").alias("to_tree"), F.col("slice").alias("to_slice")).distinct()
-        copies = pages.join(F.broadcast(wanted), F.col("tree") == F.col("to_tree"))
-        return queries.groupBy("tree", "slice").cogroup(copies.groupBy("to_tree", "to_slice")).applyInArrow(search, _FOUND)
-
-    home = materialize(meet(sliced(assigned).select("tree", "slice", "id", "vec", F.lit(float("inf")).alias("bound"))), "home")
-    kth = home.groupBy("query_id").agg(F.max("distance").alias("d"), F.count("*").alias("c")).select("query_id", F.when(F.col("c") == k, F.col("d")).otherwise(float("inf")).alias("bound"))
-
-    def route(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, home_tree, bound = matrix(batch.column(2)), batch.column(0).to_numpy(), batch.column(3).to_numpy()
-                d = to_pivots(x)
-                radius = np.array([reach.get(j, -np.inf) for j in range(d.shape[1])])
-                open_ = d - radius <= bound[:, None] + _EPS
-                open_[np.arange(len(x)), home_tree] = False
-                q, tree = np.nonzero(open_)
-                yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), batch.column(1).take(pa.array(q)), batch.column(2).take(pa.array(q)), batch.column(3).take(pa.array(q))], ["tree", "id", "vec", "bound"])
-
-    asked = assigned.join(kth, assigned["id"] == kth["query_id"], "left").select("tree", "id", "vec", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    sent = materialize(sliced(asked.mapInArrow(route, "tree int, id bigint, vec array<double>, bound double")), "sent")
-    found = home.unionByName(meet(sent.select("tree", "slice", "id", "vec", "bound")))
-    order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "neighbor_id", "rank", "distance")
+        tree, n = table["tree"][0].as_py(), table["n"][0].as_py()
+        return _to_pages(tree, Tree.build(table["id"].to_numpy(), matrix(table["vec"]), shared.value[n][tree - first[n]], page))
+
+    folder = shared_path(spark, "pages")
+    assigned.groupBy("tree").applyInArrow(build, _PAGE_SCHEMA).write.partitionBy("tree").parquet(folder)
+    where = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+
+    def load(tree: int) -> Tree:
+        fs, base = pafs.FileSystem.from_uri(where)
+        files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{base}/tree={tree}")) if f.path.endswith(".parquet")]
+        return _from_pages(pa.concat_tables([pq.read_table(f, filesystem=fs, partitioning=None) for f in files]))
+
+    reach = {t: away for t, (away, _, _) in extent.items()}
+
+    def search(table: pa.Table) -> pa.Table:
+        home, n = table["tree"][0].as_py(), table["n"][0].as_py()
+        x, ids, best = matrix(table["vec"]), table["id"].to_numpy(), Best(table.num_rows, k)
+        away = np.stack([_distances(x, p) for p in shared.value[n]], axis=1)
+        radius = np.array([reach.get(first[n] + j, -np.inf) for j in range(away.shape[1])])
+        least = np.maximum(away - radius, 0.0)
+        order = sorted(range(away.shape[1]), key=lambda j: (first[n] + j != home, least[:, j].min(), j))
+        for j in order:
+            on = np.flatnonzero(least[:, j] <= best.bound + _EPS) if np.isfinite(radius[j]) else ()
+            if len(on):
+                own = Best(len(on), k)
+                own.d, own.i = best.d[on], best.i[on]
+                load(first[n] + j).search_all(x[on], ids[on], own, away[on, j])
+                best.d[on], best.i[on] = own.d, own.i
+        q, r = np.nonzero(best.i >= 0)
+        return pa.table({"query_id": ids[q], "neighbor_id": best.i[q, r], "rank": (r + 1).astype(np.int32), "distance": best.d[q, r]})
+
+    parts = spark.createDataFrame([(t, max(1, math.ceil(c / SLICE_QUERIES))) for t, (_, _, c) in extent.items()], "tree int, parts int")
+    sliced = assigned.join(parts, "tree").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("parts")))
+    return sliced.select("tree", "slice", "id", "n", "vec").groupBy("tree", "slice").applyInArrow(search, _FOUND)
 
 
 ORACLE_KNN = """

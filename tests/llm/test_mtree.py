@@ -63,3 +63,25 @@ def test_edges(spark):
     same(got(mtree.knn(df.union(df), 3)), {0: [(1, 0.0), (7, 8**0.5)], 1: [(0, 0.0), (7, 8**0.5)], 7: [(0, 8**0.5), (1, 8**0.5)]})
     assert mtree.knn(df.limit(0)).count() == 0
     assert mtree.knn(frame(spark, [5], [[1, 1]])).count() == 0
+
+
+def test_lengths_are_apart(spark):
+    x = [[1, 2], [1, 3, 0], [1, 4], [5], [1, 3, 1], [8, 8]]
+    df = frame(spark, range(6), x)
+    found = got(mtree.knn(df, 2, tree_rows=1))
+    assert {q: [i for i, _ in r] for q, r in found.items()} == {0: [2, 5], 2: [0, 5], 5: [2, 0], 1: [4], 4: [1]}
+
+
+def test_queries_side_by_side_are_queries_one_by_one():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.3, (400, 6)) for c in rng.normal(size=(5, 6))])
+    x[100:120] = x[7]
+    t = mtree.Tree.build(np.arange(2000), x, x.mean(0), 32)
+    q = x[::7]
+    best = mtree.Best(len(q), 9)
+    away = mtree._distances(q, x.mean(0))
+    computed = t.search_all(q, np.arange(2000)[::7], best, away)
+    want = brute(range(2000), x.astype(np.float32), 9)
+    alone = sum(t.search(v, 9, away[i], own=int(i * 7))[2] for i, v in enumerate(q))
+    assert [b.tolist() for b in best.i] == [t.search(v, 9, away[i], own=int(i * 7))[1].tolist() for i, v in enumerate(q)] and computed == alone
+    assert np.mean([[j for j, _ in want[i * 7]] == b.tolist() for i, b in enumerate(best.i)]) > 0.99  # but for rounding to 32 bits
