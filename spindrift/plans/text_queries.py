@@ -114,9 +114,12 @@ def normalize_url_csv(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", url.curated_url(F.col("url")).alias("canonical"))
 
 
-@query("WITH a AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS k FROM pages) SELECT k AS key, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS members FROM a GROUP BY k HAVING count(*) > 1")
+@query("WITH a AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS k FROM pages), b AS (SELECT * FROM a UNION ALL SELECT page_id + 1000000000, k FROM a WHERE page_id % 3 = 0) SELECT k AS key, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS members FROM b GROUP BY k HAVING count(*) > 1")
 def url_duplicate_groups(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("key"))
+    """Pages that are the same but for query and fragment; every third one comes a second time with a tracking query."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    again = p.where("page_id % 3 = 0").select((F.col("page_id") + 1_000_000_000).alias("page_id"), F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("?utm_source=x#top")).alias("url"))
+    p = p.unionByName(again).select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("key"))
     return p.groupBy("key").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("page_id")), lambda x: x.cast("string")), ",").alias("members")).where("n > 1")
 
 
@@ -304,8 +307,10 @@ def prefill_labels(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", p.alias("p")).select("p_partkey", *[F.col(f"p.{n}").alias(n) for n in names])
 
 
-@query("WITH l AS (SELECT doc_id, trim(unnest(string_split_regex(text, '\\r?\\n'))) AS line, unnest(range(len(string_split_regex(text, '\\r?\\n')))) AS pos FROM documents) SELECT doc_id, min_by(line, pos) AS title FROM l WHERE length(line) BETWEEN 8 AND 90 AND NOT contains(line, ':') AND NOT regexp_matches(line, '(?i)^https?://') AND NOT regexp_matches(line, '^.{4,60}?\\s+at\\s+[A-Z]') GROUP BY doc_id")
+_AT = "^(.{4,60}?)\\s+at\\s+([A-Z][A-Za-z0-9_&.,'' -]{2,50})$"
+
+
+@query(f"WITH l AS (SELECT doc_id, trim(unnest(string_split_regex(text, '\\r?\\n'))) AS line, unnest(range(len(string_split_regex(text, '\\r?\\n')))) AS pos FROM documents), f AS (SELECT doc_id, min_by(line, pos) AS line FROM l WHERE length(line) BETWEEN 8 AND 90 AND NOT contains(line, ':') AND NOT regexp_matches(line, '(?i)^https?://') GROUP BY doc_id) SELECT doc_id, CASE WHEN regexp_matches(line, '{_AT}') THEN trim(regexp_replace(regexp_extract(line, '{_AT}', 1), '\\s+', ' ', 'g')) ELSE line END AS title FROM f")
 def prefill_document_titles(spark, sf_dir):
-    """Titles guessed from whole documents, as far as no employer is split off."""
-    lines = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x: F.trim(x)), lambda x: F.length(x).between(8, 90) & ~x.contains(":") & ~x.rlike("(?i)^https?://") & ~x.rlike(r"^.{4,60}?\s+at\s+[A-Z]"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.get(lines, F.lit(0)).alias("title")).where("title is not null")
+    """Titles guessed from whole documents; an employer behind "at" is split off."""
+    return table(spark, sf_dir, "documents").select("doc_id", prefill(F.col("text"))["title"].alias("title")).where("title is not null")
