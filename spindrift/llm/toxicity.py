@@ -38,20 +38,27 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed places of all character n-grams of 3 to 6 with borders, word by word; how many each word has)."""
+def grams_by_size(words: list[str]):
+    """For 3 to 6 characters: (words that are long enough with their borders, hashed places of their n-grams one after the other, how many each has)."""
     code = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = np.fromiter(map(len, words), np.int64, len(words)) + 2
     left = np.repeat(np.cumsum(n), n) - np.arange(len(code))  # characters up to the word's end
     h = code * _MIX[0]
-    places, fits = np.zeros((len(code), 4), np.int64), np.zeros((len(code), 4), bool)
     for k in range(1, 6):
         h = h[: len(code) - k] * _MIX[1] + code[k:]
-        if k >= 2 and len(h):
-            places[: len(h), k - 2] = ((h ^ (h >> np.uint64(31))) * _MIX[2]) >> np.uint64(64 - LOG_GRAMS)
-            fits[:, k - 2] = left > k
-    word = np.repeat(np.arange(len(words)), n)
-    return places[fits], np.bincount(word, weights=fits.sum(1), minlength=len(words)).astype(np.int64)
+        if k >= 2:
+            own = h[left[: len(h)] > k]
+            which = np.flatnonzero(n > k)
+            if len(which):
+                yield which, (((own ^ (own >> np.uint64(31))) * _MIX[2]) >> np.uint64(64 - LOG_GRAMS)).astype(np.int64), n[which] - k
+
+
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed places of all character n-grams of 3 to 6 with borders, word by word; how many each word has)."""
+    parts = list(grams_by_size(words))
+    owner = np.concatenate([np.repeat(which, n) for which, _, n in parts])
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate([places for _, places, _ in parts])[order], np.bincount(owner, minlength=len(words))
 
 
 def window_starts(n: int, stride: int = STRIDE) -> np.ndarray:
@@ -134,18 +141,17 @@ class Network:
 
 
 def _graph(w: dict) -> bytes:
-    """The network over windows that start at consecutive words, without its offset: inputs are x<direction><gate>, the words'
-    shares of the gates, of which a step of all windows takes a slice; window i is words i to i + WINDOW - 1."""
+    """The network over windows side by side, without its offset: input x<direction><gate>_<step> is the share of the gate that the
+    words at that place of all windows have. Where windows start at consecutive words these are views of one array."""
     g, h, t = onnx.Graph(), HIDDEN, WINDOW
     f32 = lambda a: np.ascontiguousarray(a, np.float32)
-    rows, columns = g.constant(np.array([0])), g.constant(np.array([1]))
-    first, last = [g.constant(np.array([i])) for i in range(t)], [g.constant(np.array([i - t + 1 if i < t - 1 else 1 << 40])) for i in range(t)]
+    columns = g.constant(np.array([1]))
     states = np.empty((2, t), object)
     for d in (0, 1):
         reset, update, new = (g.constant(f32(w["re"][d][:, k * h : (k + 1) * h])) for k in range(3))
         s = None
         for at in range(t) if d == 0 else range(t - 1, -1, -1):
-            x = [g.add("Slice", f"x{d}{k}", first[at], last[at], rows) for k in range(3)]
+            x = [f"x{d}{k}_{at}" for k in range(3)]
             if s is None:  # from zeros
                 z, n = g.add("Sigmoid", x[1]), g.add("Tanh", x[2])
                 s = g.add("Sub", n, g.add("Mul", z, n))
@@ -160,7 +166,8 @@ def _graph(w: dict) -> bytes:
     looks = g.add("Concat", *[g.add("MatMul", g.add("Tanh", both(att, i)), see) for i in range(t)], axis=1)
     votes = g.add("Concat", *[both(out, i) for i in range(t)], axis=1)
     logit = g.add("ReduceSum", g.add("Mul", g.add("Softmax", looks, axis=1), votes), columns, keepdims=0)
-    return g.model({f"x{d}{k}": h for d in (0, 1) for k in range(3)}, logit)
+    # the first step of either direction starts from zeros and has no use for the reset gate
+    return g.model({f"x{d}{k}_{i}": h for d in (0, 1) for k in range(3) for i in range(t) if k or i != (0 if d == 0 else t - 1)}, logit)
 
 
 class Model:
@@ -169,7 +176,7 @@ class Model:
         self.clear()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("row", "table", "session")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "old", "table", "session", "inputs_of")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -177,6 +184,7 @@ class Model:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
+        self.old: tuple[dict[str, int], np.ndarray | None] = {}, None
         self.table = self.session = None
 
     def inputs(self, words: list[str]) -> np.ndarray:
@@ -186,15 +194,20 @@ class Model:
         out = []
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
-            places, n = grams_of(part)
-            out.append(np.concatenate([self.word[[self.vocabulary.get(w, 0) for w in part]], np.maximum.reduceat(self.gram[places], np.cumsum(n) - n)], axis=1))
+            top = np.full((len(part), WIDTH), -np.inf, np.float32)
+            for which, places, n in grams_by_size(part):
+                top[which] = np.maximum(top[which], np.maximum.reduceat(self.gram.take(places, axis=0), np.cumsum(n) - n))
+            out.append(np.concatenate([self.word[[self.vocabulary.get(w, 0) for w in part]], top], axis=1))
         return np.concatenate(out).astype(np.float32)
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """Places of words in ``table``, which holds their share of both directions' gates; place 0 is no word."""
+        """Places of words in ``table``, which holds their share of both directions' gates; place 0 is no word.
+
+        Words are kept in two generations: what the older one still gives moves to the younger.
+        """
         fresh = [w for w in dict.fromkeys(words) if w not in self.row]
         if len(self.row) + len(fresh) > CACHE_WORDS and self.row:
-            self.row, self.table = {}, None
+            self.old, self.row, self.table = (self.row, self.table), {}, None
             fresh = list(dict.fromkeys(words))
         w = self.network.w
         if self.table is None:
@@ -203,9 +216,15 @@ class Model:
             n = len(self.row) + 1
             while len(self.table) < n + len(fresh):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            x = self.inputs(fresh)
-            self.table[n : n + len(fresh)] = np.concatenate([(x @ w["in"][k] + w["bias"][k]) * self.scale for k in (0, 1)], axis=1)
-            self.row.update((f, n + i) for i, f in enumerate(fresh))
+            before, rows = self.old
+            known = [before.get(f, 0) for f in fresh]
+            at = np.array(known)
+            if rows is not None:
+                self.table[n : n + len(fresh)] = rows[at]
+            new = np.flatnonzero(at == 0)
+            x = self.inputs([fresh[i] for i in new])
+            self.table[n + new] = np.concatenate([(x @ w["in"][k] + w["bias"][k]) * self.scale for k in (0, 1)], axis=1)
+            self.row.update(zip(fresh, range(n, n + len(fresh))))
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
     def _logits(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -243,11 +262,13 @@ class Model:
         h = HIDDEN
         if self.session is None:
             self.session = onnx.session(_graph(self.network.w))
+            self.inputs_of = [(i.name, int(i.name[1]), int(i.name[2]), int(i.name[4:])) for i in self.session.get_inputs()]
         out = np.empty(len(at) - WINDOW + 1, np.float32)
         for lo in range(0, len(out), _RUN):
             n = min(_RUN, len(out) - lo)
-            x = self.table[at[lo : lo + n + WINDOW - 1]] / np.tile(self.scale, 2)
-            out[lo : lo + n] = self.session.run(None, {f"x{d}{g}": np.ascontiguousarray(x[:, (3 * d + g) * h : (3 * d + g + 1) * h]) for d in (0, 1) for g in range(3)})[0]
+            x = self.table.take(at[lo : lo + n + WINDOW - 1], axis=0) / np.tile(self.scale, 2)
+            parts = {(d, k): np.ascontiguousarray(x[:, (3 * d + k) * h : (3 * d + k + 1) * h]) for d in (0, 1) for k in range(3)}
+            out[lo : lo + n] = self.session.run(None, {name: parts[d, k][i : i + n] for name, d, k, i in self.inputs_of})[0]
         return out + self.network.w["off"][0]
 
     def scores(self, texts: list[str], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
