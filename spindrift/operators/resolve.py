@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.similarity import bigrams, dice
 from spindrift.functions.text import family_of
+from spindrift.session import materialize
 
 COMPANY_LEAST, TITLE_LEAST, FEED_LEAST = 0.85, 0.80, 0.85
 
@@ -104,10 +105,11 @@ def assess_duplicates(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     by_id = c.join(p, F.col("c_identity_key") == F.col("p_identity_key")).withColumns({"tier": F.lit(1), "conf": F.lit(1.0)})
     by_url = c.join(p, F.col("c_canonical_url") == F.col("p_canonical_url")).withColumns({"tier": F.lit(2), "conf": F.lit(0.95)})
     named_c, named_p = c.where("c_employer <> '' and c_title <> ''"), p.where("p_employer <> '' and p_title <> ''")
-    alike = similar_names(named_c.select(F.col("c_employer").alias("name")), named_p.select(F.col("p_employer").alias("name")), FEED_LEAST)
+    # the pairs of names are tables of their own: they are used twice, and the plans below stay small
+    alike = materialize(similar_names(named_c.select(F.col("c_employer").alias("name")), named_p.select(F.col("p_employer").alias("name")), FEED_LEAST), "alike")
     alike = alike.select(F.col("l").alias("c_employer"), F.col("r").alias("p_employer"), F.col("score").alias("employer_score"))
     # distinct names and titles are compared; pairs of both are matched as such before rows meet by them
-    pair = lambda x, y: similar_names(named_c.select(x.alias("name")), named_p.select(y.alias("name")), FEED_LEAST)
+    pair = lambda x, y: materialize(similar_names(named_c.select(x.alias("name")), named_p.select(y.alias("name")), FEED_LEAST), "alike")
     titles = pair(F.col("c_title"), F.col("p_title")).select(F.col("l").alias("c_title"), F.col("r").alias("p_title"), F.col("score").alias("ts"))
     both = lambda d, *columns: d.select(*columns).distinct()
     met = both(named_c, "c_employer", "c_title").join(titles, "c_title").join(alike, "c_employer").join(both(named_p, "p_employer", "p_title"), ["p_employer", "p_title"])

@@ -61,11 +61,13 @@ _APART = "concat_ws('|', " + ", ".join(f"CASE WHEN lower(trim(coalesce(c.{x}, ''
 
 
 @query(f"""WITH p AS (SELECT {_COLS(_POST)} FROM part WHERE p_partkey % 2 = 0), c AS (SELECT {_COLS(_CAND)} FROM part WHERE p_partkey % 40 IN (0, 3, 5, 11, 13)),
-x AS (SELECT c.identity_key AS ck, p.identity_key AS pk, c.title AS ct, p.title AS pt, c.location AS cl, p.location AS pl, {_ZERO('c.employer', 'p.employer')} AS es FROM c JOIN p ON c.employer IS NOT NULL AND p.employer IS NOT NULL AND {_ZERO('c.employer', 'p.employer')} >= 0.85),
+e AS (SELECT a.employer AS ce, b.employer AS pe, {_ZERO('a.employer', 'b.employer')} AS es FROM (SELECT DISTINCT employer FROM c WHERE employer IS NOT NULL) a, (SELECT DISTINCT employer FROM p WHERE employer IS NOT NULL) b),
+t AS (SELECT a.title AS ct, b.title AS pt, {_ZERO('a.title', 'b.title')} AS ts, {_ZERO(_FAM('a.title'), _FAM('b.title'))} AS fs FROM (SELECT DISTINCT title FROM c) a, (SELECT DISTINCT title FROM p) b),
+x AS (SELECT c.identity_key AS ck, p.identity_key AS pk, t.ct, t.pt, c.location AS cl, p.location AS pl, es, ts, fs FROM c JOIN e ON c.employer = ce JOIN p ON p.employer = pe JOIN t ON c.title = t.ct AND p.title = t.pt WHERE es >= 0.85),
 h AS (SELECT c.identity_key AS ck, p.identity_key AS pk, 1 AS tier, CAST(1.0 AS DOUBLE) AS conf FROM c JOIN p ON c.identity_key = p.identity_key
  UNION ALL SELECT c.identity_key, p.identity_key, 2, 0.95 FROM c JOIN p ON c.canonical_url = p.canonical_url
- UNION ALL SELECT ck, pk, 3, least(0.9, (es + ts) / 2 + 0.05) FROM (SELECT *, {_ZERO('ct', 'pt')} AS ts FROM x WHERE cl IS NOT DISTINCT FROM pl) WHERE ts >= 0.85
- UNION ALL SELECT ck, pk, 4, 0.6 FROM x WHERE ct <> pt AND ({_FAM('ct')} <> ct OR {_FAM('pt')} <> pt) AND coalesce(cl = pl, true) AND {_ZERO(_FAM('ct'), _FAM('pt'))} >= 0.85),
+ UNION ALL SELECT ck, pk, 3, least(0.9, (es + ts) / 2 + 0.05) FROM x WHERE cl IS NOT DISTINCT FROM pl AND ts >= 0.85
+ UNION ALL SELECT ck, pk, 4, 0.6 FROM x WHERE ct <> pt AND ({_FAM('ct')} <> ct OR {_FAM('pt')} <> pt) AND coalesce(cl = pl, true) AND fs >= 0.85),
 r AS (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY tier, conf DESC, pk) AS rn FROM h)
 SELECT c.identity_key, CASE WHEN tier IS NULL AND c.employer IS NULL THEN 'insufficient_information' WHEN tier = 1 THEN 'exact_identity' WHEN tier = 2 THEN 'exact_url' WHEN tier = 3 THEN 'probable_same_posting' WHEN tier = 4 THEN 'possible_annual_family' ELSE 'likely_distinct' END AS match_type,
  round(CASE WHEN tier IS NULL AND c.employer IS NULL THEN 0.0 ELSE coalesce(conf, 0.9) END, 6) AS confidence, pk AS matched_key,
