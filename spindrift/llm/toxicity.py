@@ -164,7 +164,8 @@ def _graph(w: dict) -> bytes:
     see = g.constant(f32(w["see"][:, None]))
     both = lambda m, i: g.add("Gemm", states[1, i], m[1], g.add("MatMul", states[0, i], m[0]))
     looks = g.add("Concat", *[g.add("MatMul", g.add("Tanh", both(att, i)), see) for i in range(t)], axis=1)
-    votes = g.add("Concat", *[both(out, i) for i in range(t)], axis=1)
+    vote = lambda i: g.add("Add", g.add("MatMul", states[0, i], out[0]), g.add("MatMul", states[1, i], out[1]))
+    votes = g.add("Concat", *[vote(i) for i in range(t)], axis=1)
     logit = g.add("ReduceSum", g.add("Mul", g.add("Softmax", looks, axis=1), votes), columns, keepdims=0)
     # the first step of either direction starts from zeros and has no use for the reset gate
     return g.model({f"x{d}{k}_{i}": h for d in (0, 1) for k in range(3) for i in range(t) if k or i != (0 if d == 0 else t - 1)}, logit)
@@ -205,13 +206,13 @@ class Model:
 
         Words are kept in two generations: what the older one still gives moves to the younger.
         """
-        fresh = [w for w in dict.fromkeys(words) if w not in self.row]
+        fresh = list(set(words).difference(self.row))
         if len(self.row) + len(fresh) > CACHE_WORDS and self.row:
             self.old, self.row, self.table = (self.row, self.table), {}, None
-            fresh = list(dict.fromkeys(words))
+            fresh = list(set(words))
         w = self.network.w
         if self.table is None:
-            self.table, self.scale = np.zeros((4096, 6 * HIDDEN), np.float32), np.repeat([0.5, 0.5, 1.0], HIDDEN).astype(np.float32)
+            self.table = np.zeros((4096, 6 * HIDDEN), np.float32)
         if fresh:
             n = len(self.row) + 1
             while len(self.table) < n + len(fresh):
@@ -223,21 +224,22 @@ class Model:
                 self.table[n : n + len(fresh)] = rows[at]
             new = np.flatnonzero(at == 0)
             x = self.inputs([fresh[i] for i in new])
-            self.table[n + new] = np.concatenate([(x @ w["in"][k] + w["bias"][k]) * self.scale for k in (0, 1)], axis=1)
+            self.table[n + new] = np.concatenate([x @ w["in"][k] + w["bias"][k] for k in (0, 1)], axis=1)
             self.row.update(zip(fresh, range(n, n + len(fresh))))
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
     def _logits(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
         """at: (windows, WINDOW) places in ``table``; the forward pass of the network, with shared input products."""
         w, h, n, t = self.network.w, HIDDEN, len(at), WINDOW
-        re = (w["re"] * self.scale).astype(np.float32)
+        scale = np.repeat([0.5, 0.5, 1.0], h).astype(np.float32)  # a logistic is a tanh of half its argument
+        re = (w["re"] * scale).astype(np.float32)
         s = np.zeros((2, n, h), np.float32)
         states = np.empty((t, 2, n, h), np.float32)
         full = bool((length == t).all())
         a = np.empty((2, n, 3 * h), np.float32)
         for i in range(t):
-            a[0] = self.table[at[:, i], : 3 * h]
-            a[1] = self.table[at[:, t - 1 - i], 3 * h :]
+            a[0] = self.table[at[:, i], : 3 * h] * scale
+            a[1] = self.table[at[:, t - 1 - i], 3 * h :] * scale
             u = s @ re
             gate = np.tanh(a[:, :, : 2 * h] + u[:, :, : 2 * h])
             gate += 1
@@ -266,7 +268,7 @@ class Model:
         out = np.empty(len(at) - WINDOW + 1, np.float32)
         for lo in range(0, len(out), _RUN):
             n = min(_RUN, len(out) - lo)
-            x = self.table.take(at[lo : lo + n + WINDOW - 1], axis=0) / np.tile(self.scale, 2)
+            x = self.table.take(at[lo : lo + n + WINDOW - 1], axis=0)
             parts = {(d, k): np.ascontiguousarray(x[:, (3 * d + k) * h : (3 * d + k + 1) * h]) for d in (0, 1) for k in range(3)}
             out[lo : lo + n] = self.session.run(None, {name: parts[d, k][i : i + n] for name, d, k, i in self.inputs_of})[0]
         return out + self.network.w["off"][0]
