@@ -162,10 +162,12 @@ def fuzzy_clusters(rows: DataFrame, least: float = TITLE_LEAST) -> DataFrame:
     """(id, other, score): in each company, in order of id, a row that is still free takes the first later free one that is alike.
 
     Greedy matching is sequential in a company. Distinct titles are compared, by a blocked join; the walk then asks each
-    alike title for its next free row, so rows of equal titles never meet as pairs. Rows without a title match none.
+    alike title for its next free row, so rows of equal titles never meet as pairs. Rows without a title match none;
+    those without a company are one company's, as in the original.
     """
-    titled = rows.where("title is not null").select("company", "id", F.lower("title").alias("name"))
-    alike = similar_names(titled, titled, least, "company")
+    titled = rows.where("title is not null").select(F.coalesce("company", F.lit("")).alias("company"), "id", F.lower("title").alias("name"))
+    # the pairs are a table of their own: a cogroup can't tell columns apart that come from one frame
+    alike = materialize(similar_names(titled, titled, least, "company"), "alike")
     kind = dict(rows.dtypes)["id"]
 
     def greedy(own, pairs):

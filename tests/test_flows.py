@@ -204,6 +204,13 @@ def test_greedy_clusters(spark, data):
     assert {(r["id"], r["other"]) for r in e.queries()["duplicate_clusters_fuzzy"](spark, data).collect()} == expected
 
 
+def test_greedy_clusters_without_companies(spark):
+    rows = [(1, None, "lab aide one"), (2, "", "lab aide ones"), (3, "c", "lab aide one"), (4, None, None), (5, "c", "Lab Aide One"), (6, None, "lab aide one"), (7, "d", "lab aide one")]
+    got = resolve.fuzzy_clusters(spark.createDataFrame(rows, "id bigint, company string, title string")).collect()
+    assert sorted((r["id"], r["other"]) for r in got) == [(1, 2), (3, 5)]
+    assert resolve.fuzzy_clusters(spark.createDataFrame([], "id bigint, company string, title string")).count() == 0
+
+
 def test_merge_policies(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
     assert sorted((r["k"] or 0, r["v"]) for r in merge.insert_if_absent(t, spark.createDataFrame([(2, "x"), (3, "z"), (3, "y"), (None, "m")], "k int, v string"), "k").collect()) == [(0, "m"), (0, "n"), (1, "a"), (2, "b"), (3, "y")]
