@@ -85,3 +85,36 @@ def test_queries_side_by_side_are_queries_one_by_one():
     alone = sum(t.search(v, 9, away[i], own=int(i * 7))[2] for i, v in enumerate(q))
     assert [b.tolist() for b in best.i] == [t.search(v, 9, away[i], own=int(i * 7))[1].tolist() for i, v in enumerate(q)] and computed == alone
     assert np.mean([[j for j, _ in want[i * 7]] == b.tolist() for i, b in enumerate(best.i)]) > 0.99  # but for rounding to 32 bits
+
+
+def test_page_by_page_is_query_by_query():
+    rng = np.random.default_rng(8)
+    for scale, shift in ((1, 0), (1e-6, 3), (1e12, 0), (1e120, 0), (1, 1e6)):
+        x = np.concatenate([rng.normal(c, 0.3, (400, 6)) for c in rng.normal(size=(5, 6))]) * scale + shift
+        x[100:120] = x[7]
+        t = mtree.Tree.build(np.arange(2000), x, x[0], 32)
+        q, own = x[::7], np.arange(2000)[::7]
+        away = mtree._distances(q, x[0])
+        one, all_ = mtree.Best(len(q), 9), mtree.Best(len(q), 9)
+        t.search_all(q[:150], own[:150], part := mtree.Best(150, 9), away[:150])
+        all_.d[:150], all_.i[:150] = part.d, part.i
+        t.sweep(q[150:], own[150:], rest := mtree.Best(len(q) - 150, 9), away[150:])
+        all_.d[150:], all_.i[150:] = rest.d, rest.i
+        d = np.sqrt(((q[:, None] - x) ** 2).sum(2))
+        for k in range(len(q)):
+            d[k, own[k]] = np.inf
+        order = np.lexsort((np.broadcast_to(np.arange(2000), d.shape), d))[:, :9]
+        assert (all_.i == order).all(), (scale, shift)
+
+
+def test_queries_are_every_so_many(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 8))
+    want = {q: n for q, n in brute(range(700), x, 5).items() if q % 50 == 0}
+    same(got(mtree.knn(frame(spark, range(700), x), 5, page=16, tree_rows=60, every=50)), want)
+    assert got(mtree.knn(frame(spark, [1, 2], x[:2]), 5, every=50)) == {}
+
+
+def test_slices():
+    extent = {0: (1, 2, 3), 1: (1, 2, 4), 2: (1, 2, 0), 3: (1, 2, 20), 4: (1, 2, 5), 5: (1, 7, 1), 6: (1, 7, 9)}
+    assert mtree._slices(extent, 8) == [(0, 0, 1), (1, 0, 1), (2, 0, 1), (3, 1, 3), (4, 4, 1), (5, 5, 1), (6, 6, 2)]
