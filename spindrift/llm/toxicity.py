@@ -28,7 +28,7 @@ WINDOW, STRIDE, TRAIN_STRIDE, HIDDEN, WIDTH, ATTENTION = 32, 1, 24, 8, 6, 8
 #: A word has an embedding of its own where it stands in so many training texts at least.
 LEAST_TEXTS = 3
 #: Windows that are read side by side.
-_RUN = 4096
+_RUN = 8192
 LOG_GRAMS, CACHE_WORDS = 18, 100_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F], np.uint64)
 _WORD = re.compile(r"[^\W_]+")
@@ -164,8 +164,7 @@ def _graph(w: dict) -> bytes:
     see = g.constant(f32(w["see"][:, None]))
     both = lambda m, i: g.add("Gemm", states[1, i], m[1], g.add("MatMul", states[0, i], m[0]))
     looks = g.add("Concat", *[g.add("MatMul", g.add("Tanh", both(att, i)), see) for i in range(t)], axis=1)
-    vote = lambda i: g.add("Add", g.add("MatMul", states[0, i], out[0]), g.add("MatMul", states[1, i], out[1]))
-    votes = g.add("Concat", *[vote(i) for i in range(t)], axis=1)
+    votes = g.add("Concat", *[both(out, i) for i in range(t)], axis=1)
     logit = g.add("ReduceSum", g.add("Mul", g.add("Softmax", looks, axis=1), votes), columns, keepdims=0)
     # the first step of either direction starts from zeros and has no use for the reset gate
     return g.model({f"x{d}{k}_{i}": h for d in (0, 1) for k in range(3) for i in range(t) if k or i != (0 if d == 0 else t - 1)}, logit)
@@ -177,7 +176,7 @@ class Model:
         self.clear()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("row", "old", "table", "session", "inputs_of")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "table", "session", "inputs_of")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -185,7 +184,6 @@ class Model:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.old: tuple[dict[str, int], np.ndarray | None] = {}, None
         self.table = self.session = None
 
     def inputs(self, words: list[str]) -> np.ndarray:
@@ -204,29 +202,29 @@ class Model:
     def rows(self, words: list[str]) -> np.ndarray:
         """Places of words in ``table``, which holds their share of both directions' gates; place 0 is no word.
 
-        Words are kept in two generations: what the older one still gives moves to the younger.
+        Only distinct words are looked up. What is kept is forgotten where it would pass CACHE_WORDS: an older generation
+        costs as much memory again, and about what it saves, as most words are new.
         """
-        fresh = list(set(words).difference(self.row))
+        if not words:
+            return np.zeros(0, np.int64)
+        codes, names = pd.factorize(np.array(words, object))
+        names = names.tolist()
+        fresh = [x for x in names if x not in self.row]
         if len(self.row) + len(fresh) > CACHE_WORDS and self.row:
-            self.old, self.row, self.table = (self.row, self.table), {}, None
-            fresh = list(set(words))
+            self.row, self.table, fresh = {}, None, names
         w = self.network.w
-        if self.table is None:
-            self.table = np.zeros((4096, 6 * HIDDEN), np.float32)
+        n = len(self.row) + 1
+        if self.table is None or len(self.table) < n + len(fresh):
+            kept = self.table
+            self.table = np.zeros((max(n + len(fresh), min(2 * n, CACHE_WORDS)), 6 * HIDDEN), np.float32)
+            if kept is not None:
+                self.table[:n] = kept[:n]
         if fresh:
-            n = len(self.row) + 1
-            while len(self.table) < n + len(fresh):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            before, rows = self.old
-            known = [before.get(f, 0) for f in fresh]
-            at = np.array(known)
-            if rows is not None:
-                self.table[n : n + len(fresh)] = rows[at]
-            new = np.flatnonzero(at == 0)
-            x = self.inputs([fresh[i] for i in new])
-            self.table[n + new] = np.concatenate([x @ w["in"][k] + w["bias"][k] for k in (0, 1)], axis=1)
+            x = self.inputs(fresh)
+            for k in (0, 1):
+                np.add(x @ w["in"][k], w["bias"][k], out=self.table[n : n + len(fresh), 3 * k * HIDDEN : 3 * (k + 1) * HIDDEN], casting="unsafe")
             self.row.update(zip(fresh, range(n, n + len(fresh))))
-        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.row.__getitem__, names), np.int64, len(names))[codes]
 
     def _logits(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
         """at: (windows, WINDOW) places in ``table``; the forward pass of the network, with shared input products."""

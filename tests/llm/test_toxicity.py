@@ -89,6 +89,31 @@ def test_the_cache_changes_nothing(monkeypatch):
     assert np.allclose([m.scores([t])[0][0] for t in texts], want, atol=1e-6)
 
 
+def test_a_worker_keeps_one_operators_things(monkeypatch):
+    from spindrift.llm import _common, bpe
+
+    monkeypatch.setattr(_common, "_CACHES", {})
+    bpe.codec().encode(["some words"])
+    first, second = model(), model()
+    first.scores(["word " * 40])
+    assert bpe._CODECS and first.row and first.session
+    _common.alone("toxicity", first.clear)
+    assert not bpe._CODECS and first.row
+    _common.alone("toxicity", first.clear)
+    assert first.row
+    _common.alone("toxicity", second.clear)  # the model of another run
+    assert not first.row and first.session is None
+
+
+def test_what_is_kept_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 100)
+    m = model()
+    for i in range(30):
+        m.rows([f"w{i}x{j}" for j in range(20)] * 3)
+        assert len(m.row) <= 100 and len(m.table) <= 101
+    assert m.rows([]).shape == (0,)
+
+
 def test_grams_cover_whole_words():
     places, n = toxicity.grams_of(["a", "abcdef", "é" * 500])
     assert n.tolist() == [1, 6 + 5 + 4 + 3, 500 + 499 + 498 + 497] and len(places) == n.sum()
