@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from spindrift.llm._common import Positional, materialize, pick
+from spindrift.llm._common import Positional, alone, materialize, pick
 
 #: Lines that are looked through at once before the shuffle.
 LOCAL_LINES = 200_000
@@ -34,6 +34,7 @@ def _local(batches):
             h = [pa.array(x[on], mask=np.full(len(on), kind > 0)) for x in (h1, h2)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), kind, np.int8)), *h, pa.array(ids[on]), pa.array(what[on])], ["kind", "h1", "h2", "id", "pos"])
 
+    alone("linededup")
     held, size = [], 0
     for batch in batches:
         columns = [batch.column(i) for i in range(5)]
@@ -48,6 +49,7 @@ def _local(batches):
 
 def _stream(batches):
     """Rows arrive by (h1, h2, id, pos); passes on those that aren't the first occurrence of their hash."""
+    alone("linededup")
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -69,6 +71,7 @@ def _stream(batches):
 
 @F.pandas_udf(StringType())
 def _runs(n_lines: pd.Series, drops: pd.Series) -> pd.Series:
+    alone("linededup")
     out = []
     for n, d in zip(n_lines, drops):
         if d is None or not len(d):
@@ -118,6 +121,7 @@ def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 @F.pandas_udf(StringType())
 def _apply(text: pd.Series, runs: pd.Series) -> pd.Series:
+    alone("linededup")
     out = []
     for t, r in zip(text, runs):
         if t is None or r is None or "," not in r:
@@ -140,7 +144,7 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     maps = keep_bitmaps(df, id_col, text_col).where("n_kept < n_lines").select(F.col("doc_id").alias("__id"), F.col("keep_runs").alias("__runs"))
     text = p.name(text_col)
     joined = p.df.join(maps, p.col(id_col).cast("bigint") == F.col("__id"), "left")
-    changed = joined.withColumn("__new", F.when(F.col("__runs").isNotNull(), _apply(text, "__runs"))).where("__runs is null or __new is not null")
+    changed = joined.withColumn("__new", F.when(F.col("__runs").isNotNull(), _apply(F.when(F.col("__runs").isNotNull(), F.col(text)), "__runs"))).where("__runs is null or __new is not null")
     size = {p.name("n_chars"): F.when(F.col("__runs").isNotNull(), F.length("__new").cast("bigint")).otherwise(p.col("n_chars"))} if "n_chars" in df.columns else {}
     return p.restore(changed.withColumns({text: F.when(F.col("__runs").isNotNull(), F.col("__new")).otherwise(F.col(text)), **size}))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import materialize
+from spindrift.llm._common import alone, materialize
 from spindrift.llm.bpe import VOCABULARY, count_tokens
 
 TOKENS, DOCUMENTS, COST, GROUP_ITEMS = 4096, 64, 4096 * 2048, 16_384
@@ -56,6 +56,7 @@ def pack(sizes: np.ndarray, capacity: tuple[int, int, int], rule: str = "norm")
 
 def _pack_group(capacity: tuple[int, int, int], rule: str):
     def run(table: pa.Table) -> pa.Table:
+        alone("packing")
         grp, doc, piece, start, n = (table.column(c).to_numpy() for c in ("grp", "doc_id", "piece", "start", "tokens"))
         order = np.lexsort((piece, doc, -n))
         bins = pack(n[order], capacity, rule)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import Positional, discard, pick, stored
+from spindrift.llm._common import Positional, alone, discard, pick, stored
 
 #: Bound of the labelled rows of each class that a model is fitted to.
 SAMPLE_PER_CLASS = 3000
@@ -214,6 +214,7 @@ def _scorer(spark: SparkSession, model: Model):
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
+        alone("quality")
         m = Model(*shared.value, 0.0)
         flags = np.zeros(_SIZE, bool)
         return pd.Series([None if t is None else m.margin(t, flags) for t in text], dtype="float64")

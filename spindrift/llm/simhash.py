@@ -140,6 +140,7 @@ def _spread(parts: Layout, prefix_bits: int):
     """Rows by (segment, prefix); ``left`` is what a guest may still flip inside the group, -1 where the row is at home."""
 
     def spread(batches):
+        alone("simhash pairs")
         for batch in batches:
             node, hi, lo = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             for s, (first, width, ball) in enumerate(parts):
@@ -197,6 +198,7 @@ def _ranges(lo: np.ndarray, hi: np.ndarray, most: int):
 
 def _verify(parts: Layout, prefix_bits: int, radius: int):
     def verify(table: pa.Table) -> pa.Table:
+        alone("simhash pairs")
         grp, left, node, hi, lo = (c.to_numpy() for c in table.columns)
         first, width, ball = parts[int(grp[0]) >> prefix_bits]
         free = width - min(prefix_bits, width)
