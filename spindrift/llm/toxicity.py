@@ -28,7 +28,7 @@ WINDOW, STRIDE, TRAIN_STRIDE, HIDDEN, WIDTH, ATTENTION = 32, 1, 24, 8, 6, 8
 #: A word has an embedding of its own where it stands in so many training texts at least.
 LEAST_TEXTS = 3
 #: Windows that are read side by side.
-_RUN = 8192
+_RUN = 4096
 LOG_GRAMS, CACHE_WORDS = 18, 100_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F], np.uint64)
 _WORD = re.compile(r"[^\W_]+")
@@ -140,6 +140,14 @@ class Network:
         return g, dpre[0] @ w["in"][0].T + dpre[1] @ w["in"][1].T
 
 
+def _column(v: np.ndarray, k: int) -> np.ndarray:
+    """A square matrix that has ``v`` as its column ``k``: products by these, added up, are those by one column each, side by
+    side, and take a fraction of the time, as kernels are made for rows of results."""
+    m = np.zeros((HIDDEN, HIDDEN), np.float32)
+    m[:, k] = v
+    return m
+
+
 def _graph(w: dict) -> bytes:
     """The network over windows side by side, without its offset: input x<direction><gate>_<step> is the share of the gate that the
     words at that place of all windows have. Where windows start at consecutive words these are views of one array."""
@@ -160,11 +168,18 @@ def _graph(w: dict) -> bytes:
                 n = g.add("Tanh", g.add("Add", g.add("Mul", r, g.add("MatMul", s, new)), x[2]))
                 s = g.add("Add", n, g.add("Mul", z, g.add("Sub", s, n)))
             states[d, at] = s
-    att, out = ([g.constant(f32(m[d * h : (d + 1) * h])) for d in (0, 1)] for m in (w["att"], w["out"][:, None]))
-    see = g.constant(f32(w["see"][:, None]))
-    both = lambda m, i: g.add("Gemm", states[1, i], m[1], g.add("MatMul", states[0, i], m[0]))
-    looks = g.add("Concat", *[g.add("MatMul", g.add("Tanh", both(att, i)), see) for i in range(t)], axis=1)
-    votes = g.add("Concat", *[both(out, i) for i in range(t)], axis=1)
+    att = [g.constant(f32(w["att"][d * h : (d + 1) * h])) for d in (0, 1)]
+    see, *out = ([g.constant(_column(v, k)) for k in range(h)] for v in (w["see"], w["out"][:h], w["out"][h:]))
+    looks, votes = [], []
+    for i in range(t):
+        look = g.add("Tanh", g.add("Gemm", states[1, i], att[1], g.add("MatMul", states[0, i], att[0])))
+        for held, parts in ((looks, [(look, see)]), (votes, [(states[d, i], out[d]) for d in (0, 1)])):
+            if i % h == 0:  # the next h steps
+                value, weights = parts.pop(0)
+                held.append(g.add("MatMul", value, weights[0]))
+            for value, weights in parts:
+                held[-1] = g.add("Gemm", value, weights[i % h], held[-1])
+    looks, votes = g.add("Concat", *looks, axis=1), g.add("Concat", *votes, axis=1)
     logit = g.add("ReduceSum", g.add("Mul", g.add("Softmax", looks, axis=1), votes), columns, keepdims=0)
     # the first step of either direction starts from zeros and has no use for the reset gate
     return g.model({f"x{d}{k}_{i}": h for d in (0, 1) for k in range(3) for i in range(t) if k or i != (0 if d == 0 else t - 1)}, logit)

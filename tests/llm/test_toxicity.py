@@ -158,3 +158,12 @@ def test_edges(spark):
     assert toxicity.drop_toxic(df, labels.where("toxic = 0")).count() == 131
     assert {(r["score"], r["toxic"]) for r in toxicity.classify(df, labels.limit(0)).collect()} == {(None, False)}
     assert toxicity.classify(empty(spark), labels).count() == 0 and toxicity.drop_toxic(empty(spark), labels).count() == 0
+
+
+def test_no_product_of_the_graph_has_one_column(monkeypatch):
+    from spindrift.llm import onnx
+
+    shapes, constant = [], onnx.Graph.constant
+    monkeypatch.setattr(onnx.Graph, "constant", lambda g, a: shapes.append(a.shape) or constant(g, a))
+    toxicity._graph(model().network.w)
+    assert shapes and all(s[1] > 1 for s in shapes if len(s) == 2)
