@@ -98,32 +98,46 @@ def assess_duplicates(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     Both sides: identity_key, canonical_url, employer, title, location, material_hash (normalized). Result: identity_key,
     match_type, confidence, matched_key, contributing, conflicting (arrays), review. Ties go to the least key in
     Unicode collation. Locations must be equal, or both null, for a probable match; for a family one a null fits all.
+    A probable match has half its two scores and 0.05, at most 0.9: always 0.9, as both scores reach 0.85.
     """
     c = candidates.select(*[F.col(x).alias(f"c_{x}") for x in _FIELDS], F.coalesce("employer", F.lit("")).alias("c_e"), F.coalesce("title", F.lit("")).alias("c_t"))
     p = corpus.select(*[F.col(x).alias(f"p_{x}") for x in _FIELDS])
     some = corpus.limit(1).agg((F.count("*") > 0).alias("__some"))
-    by_id = c.join(p, F.col("c_identity_key") == F.col("p_identity_key")).withColumns({"tier": F.lit(1), "conf": F.lit(1.0)})
-    by_url = c.join(p, F.col("c_canonical_url") == F.col("p_canonical_url")).withColumns({"tier": F.lit(2), "conf": F.lit(0.95)})
-    named_c, named_p = c.where("c_employer <> '' and c_title <> ''"), p.where("p_employer <> '' and p_title <> ''")
+    # only the least key of all that fit equally well is wanted, so of each group of alike rows one stands for all
+    row = F.struct(F.expr("p_identity_key collate UNICODE").alias("order"), *[f"p_{x}" for x in _FIELDS])
+    firsts = lambda d, *by: d.groupBy(*by).agg(F.min(row).alias("p"))
+    by_id = c.join(firsts(p.where("p_identity_key is not null"), F.col("p_identity_key").alias("__key")), F.col("c_identity_key") == F.col("__key"))
+    by_url = c.join(firsts(p.where("p_canonical_url is not null"), F.col("p_canonical_url").alias("__key")), F.col("c_canonical_url") == F.col("__key"))
+    place = lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("-"))
+    named_c = c.where("c_employer <> '' and c_title <> ''").withColumn("place", place(F.col("c_location")))
+    named_p = p.where("p_employer <> '' and p_title <> ''")
+    kinds_c = materialize(named_c.select("c_employer", "c_title", "place").distinct(), "kinds")
+    kinds_p = materialize(firsts(named_p, "p_employer", "p_title", "p_location").select(*[f"p.p_{x}" for x in _FIELDS]), "kinds")
     # the pairs of names are tables of their own: they are used twice, and the plans below stay small
-    alike = materialize(similar_names(named_c.select(F.col("c_employer").alias("name")), named_p.select(F.col("p_employer").alias("name")), FEED_LEAST), "alike")
-    alike = alike.select(F.col("l").alias("c_employer"), F.col("r").alias("p_employer"), F.col("score").alias("employer_score"))
-    # distinct names and titles are compared; pairs of both are matched as such before rows meet by them
-    pair = lambda x, y: materialize(similar_names(named_c.select(x.alias("name")), named_p.select(y.alias("name")), FEED_LEAST), "alike")
-    titles = pair(F.col("c_title"), F.col("p_title")).select(F.col("l").alias("c_title"), F.col("r").alias("p_title"), F.col("score").alias("ts"))
-    both = lambda d, *columns: d.select(*columns).distinct()
-    met = both(named_c, "c_employer", "c_title").join(titles, "c_title").join(alike, "c_employer").join(both(named_p, "p_employer", "p_title"), ["p_employer", "p_title"])
-    probable = named_c.join(met, ["c_employer", "c_title"]).join(named_p, ["p_employer", "p_title"]).where(F.col("c_location").eqNullSafe(F.col("p_location")))
-    probable = probable.withColumns({"tier": F.lit(3), "conf": F.least(F.lit(0.9), (F.col("employer_score") + F.col("ts")) / 2 + 0.05)})
+    pair = lambda x, y: materialize(similar_names(kinds_c.select(x.alias("name")), kinds_p.select(y.alias("name")), FEED_LEAST), "alike")
+    alike = pair(F.col("c_employer"), F.col("p_employer")).select(F.col("l").alias("c_employer"), F.col("r").alias("p_employer"))
+    titles = pair(F.col("c_title"), F.col("p_title")).select(F.col("l").alias("c_title"), F.col("r").alias("p_title"))
     families = pair(family_of(F.col("c_title")), family_of(F.col("p_title"))).select(F.col("l").alias("cf"), F.col("r").alias("pf"))
-    c_f, p_f = named_c.withColumn("cf", family_of(F.col("c_title"))), named_p.withColumn("pf", family_of(F.col("p_title")))
-    kin = both(c_f, "c_employer", "cf").join(families, "cf").join(alike, "c_employer").join(both(p_f, "p_employer", "pf"), ["p_employer", "pf"])
-    annual = c_f.join(kin, ["c_employer", "cf"]).join(p_f, ["p_employer", "pf"])
-    annual = annual.where((F.col("c_title") != F.col("p_title")) & ((F.col("cf") != F.col("c_title")) | (F.col("pf") != F.col("p_title"))) & F.coalesce(F.col("c_location") == F.col("p_location"), F.lit(True)))
-    annual = annual.withColumns({"tier": F.lit(4), "conf": F.lit(0.6)})
-    columns = [*[f"c_{x}" for x in _FIELDS], *[f"p_{x}" for x in _FIELDS], "tier", "conf"]
-    hits = by_id.select(*columns).unionByName(by_url.select(*columns)).unionByName(probable.select(*columns)).unionByName(annual.select(*columns))
-    best = _first(hits, "c_identity_key", F.col("tier"), F.desc("conf"), F.expr("p_identity_key collate UNICODE")).drop(*[f"c_{x}" for x in _FIELDS if x != "identity_key"])
+    c_f, p_f = (d.select(t).distinct().withColumn(f, family_of(F.col(t))) for d, t, f in ((kinds_c, "c_title", "cf"), (kinds_p, "p_title", "pf")))
+    kin = c_f.join(families, "cf").join(p_f, "pf").where((F.col("c_title") != F.col("p_title")) & ((F.col("cf") != F.col("c_title")) | (F.col("pf") != F.col("p_title")))).select("c_title", "p_title")
+
+    def least(related: DataFrame, own: Column, theirs: Column) -> DataFrame:
+        """Of each kind of candidate the least row that has an alike employer, a related title and a slot in common: first for
+        title, slot and the other's employer, whoever the candidate's is, then for the kind."""
+        a = kinds_c.withColumn("slot", F.explode(own)).join(alike, "c_employer")
+        b = kinds_p.withColumn("slot", F.explode(theirs)).groupBy(F.col("p_employer"), F.col("p_title"), "slot").agg(F.min(row).alias("p"))
+        by_title = a.select("c_title", "p_employer", "slot").distinct().join(related, "c_title").join(b, ["p_employer", "p_title", "slot"]).groupBy("c_title", "p_employer", "slot").agg(F.min("p").alias("p"))
+        return a.join(by_title, ["c_title", "p_employer", "slot"]).groupBy("c_employer", "c_title", "place").agg(F.min("p").alias("p"))
+
+    nowhere, there = F.lit("-"), place(F.col("p_location"))
+    probable = named_c.join(least(titles, F.array("place"), F.array(there)), ["c_employer", "c_title", "place"])
+    anywhere = F.when(F.col("place") == nowhere, F.array(F.lit("*"))).otherwise(F.array("place", nowhere))
+    annual = named_c.join(least(kin, anywhere, F.array(F.lit("*"), there)), ["c_employer", "c_title", "place"])
+    hits = None
+    for n, d in enumerate((by_id, by_url, probable, annual), 1):
+        d = d.select("c_identity_key", F.struct(F.lit(n).alias("tier"), "p").alias("hit"))
+        hits = d if hits is None else hits.unionByName(d)
+    best = hits.groupBy("c_identity_key").agg(F.min("hit").alias("hit")).select("c_identity_key", "hit.tier", *[f"hit.p.p_{x}" for x in _FIELDS])
     j = c.join(best, "c_identity_key", "left").crossJoin(F.broadcast(some))
     key = lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))
     differ = lambda x: key(F.col(f"c_{x}")) != key(F.col(f"p_{x}"))
@@ -134,13 +148,13 @@ def assess_duplicates(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     strings = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
     tier, poor = F.col("tier"), (F.col("c_e") == "") | (F.col("c_t") == "")
     unknown = tier.isNull() & (poor | ~F.col("__some"))
-    place = F.when(F.coalesce(F.col("c_location"), F.lit("")) != "", strings("locationNormalized")).otherwise(strings())
+    located = F.when(F.coalesce(F.col("c_location"), F.lit("")) != "", strings("locationNormalized")).otherwise(strings())
     return j.select(
         F.col("c_identity_key").alias("identity_key"),
         F.when(unknown, "insufficient_information").when(tier == 1, "exact_identity").when(tier == 2, "exact_url").when(tier == 3, "probable_same_posting").when(tier == 4, "possible_annual_family").otherwise("likely_distinct").alias("match_type"),
-        F.when(unknown, 0.0).otherwise(F.coalesce("conf", F.lit(0.9))).alias("confidence"),
+        F.when(unknown, 0.0).when(tier == 1, 1.0).when(tier == 2, 0.95).when(tier == 4, 0.6).otherwise(0.9).alias("confidence"),
         F.col("p_identity_key").alias("matched_key"),
-        F.when(tier == 1, strings("identityKey")).when(tier == 2, strings("canonicalUrl")).when(tier == 3, F.concat(strings("employerNameNormalized", "titleNormalized"), place)).when(tier == 4, strings("employerNameNormalized", "titleNormalized (family)")).otherwise(strings()).alias("contributing"),
+        F.when(tier == 1, strings("identityKey")).when(tier == 2, strings("canonicalUrl")).when(tier == 3, F.concat(strings("employerNameNormalized", "titleNormalized"), located)).when(tier == 4, strings("employerNameNormalized", "titleNormalized (family)")).otherwise(strings()).alias("contributing"),
         F.when(tier <= 2, with_hash).when(tier == 3, conflicts).when(tier == 4, strings("titleNormalized")).otherwise(strings()).alias("conflicting"),
         F.when(tier == 1, changed | (F.col("c_material_hash").isNull() & (F.size(conflicts) > 0))).otherwise(F.coalesce(tier > 1, F.lit(False))).alias("review"),
     )

@@ -180,6 +180,40 @@ def test_assess_duplicate(spark, candidate, corpus, expected):
     assert (r["match_type"], r["confidence"], r["review"]) == expected
 
 
+def most_rows(df):
+    """The most rows that any step of the plan has given."""
+    df.collect()
+
+    def walk(p):
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        inner = [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        n = p.metrics().get("numOutputRows")
+        return max([n.get().value() if n.isDefined() else 0, *map(walk, inner)])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_alike_postings_do_not_meet_as_pairs(spark):
+    places, titles = (None, "irvine", "boston"), ("lab intern", "lab intern summer 2026", "lab intern fall 2025")
+    rows = lambda k, n: [(f"{k}{i}", f"{k}{i if k == 'n' else i % 2}", "acme bio", titles[i % 3], places[i // 3 % 3], "h") for i in range(n)]
+    c, p = spark.createDataFrame(rows("n", 300), POSTING), spark.createDataFrame(rows("k", 300), POSTING)
+    found = resolve.assess_duplicates(c, p)
+    assert most_rows(found) <= 1200
+    got = {r["identity_key"]: (r["match_type"], r["matched_key"]) for r in found.collect()}
+    first = {(t, x): min(f"k{i}" for i in range(300) if titles[i % 3] == t and places[i // 3 % 3] == x) for t in titles for x in places}
+    assert got == {f"n{i}": ("probable_same_posting", first[titles[i % 3], places[i // 3 % 3]]) for i in range(300)}
+
+
+def test_families_of_any_place(spark):
+    """The least key counts, of an unknown place too; where the candidate has no place, of all."""
+    c = spark.createDataFrame([("n1", "v", "acme bio", "lab intern summer 2026", "irvine", "h"), ("n2", "v", "acme bio", "lab intern summer 2026", None, "h")], POSTING)
+    far = [("a", "u", "acme bio", "lab intern fall 2025", "boston", "h"), ("b", "u", "acme bio", "lab intern fall 2025", None, "h"), ("c", "u", "acme bio", "lab intern fall 2025", "irvine", "h")]
+    got = {r["identity_key"]: r["matched_key"] for r in resolve.assess_duplicates(c, spark.createDataFrame(far, POSTING)).collect()}
+    assert got == {"n1": "b", "n2": "a"}
+
+
 def test_similar_names_loses_nothing(spark, data):
     from tests.test_functions import plain_dice
 
