@@ -14,10 +14,40 @@ from spindrift.session import materialize
 COMPANY_LEAST, TITLE_LEAST, FEED_LEAST = 0.85, 0.80, 0.85
 
 
-def _first(df: DataFrame, key: str, *order: Column) -> DataFrame:
+def _first(df: DataFrame, key: str | list[str], *order: Column) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__rn = 1").drop("__rn")
 
 
+def _keys(names: DataFrame, least: float) -> DataFrame:
+    """(name, key, n): the pairs of rare bigrams by which names (distinct, column ``name``) meet, and how many bigrams they have."""
+    # the k-th occurrence of a bigram is an item of its own, so multisets become sets
+    grams = names.where("length(name) >= 3").select("name", F.posexplode(bigrams(F.col("name"))).alias("at", "g"))
+    items = grams.withColumn("k", F.row_number().over(Window.partitionBy("name", "g").orderBy("at"))).select("name", F.concat_ws("#", "g", "k").alias("item"))
+    ranked = items.join(items.groupBy("item").count(), "item")
+    n = F.length("name") - 1
+    keep = (n - F.ceil(n * least / (2 - least) - 1e-9) + 2).cast("int")
+    prefix = ranked.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("count", "item"))).alias("i")).select("name", F.slice(F.col("i.item"), 1, keep).alias("i"))
+    places = F.sequence(F.lit(1), F.size("i"))
+    pairs = F.flatten(F.transform(places, lambda x: F.transform(F.filter(places, lambda y: y > x), lambda y: F.xxhash64(F.element_at("i", x), F.element_at("i", y)))))
+    return prefix.select("name", F.explode(pairs).alias("key"), n.alias("n"))
+
+
+def _near(left: DataFrame, right: DataFrame, keys: DataFrame, least: float, group: list[str]) -> DataFrame:
+    """Pairs of different names (l, r) that share a key, and whose lengths allow the score."""
+    a = left.join(keys, "name").select(*group, F.col("name").alias("l"), "key", F.col("n").alias("m"))
+    b = right.join(keys, "name").select(*group, F.col("name").alias("r"), "key", "n")
+    near = a.join(b, [*group, "key"]).where(F.least("m", "n") >= F.greatest("m", "n") * (least / (2 - least)) - 1e-9)
+    return near.where("l <> r").select(*group, "l", "r").distinct()
+
+
+def _scored(pairs: DataFrame, least: float) -> DataFrame:
+    return pairs.withColumn("score", dice(F.col("l"), F.col("r"))).where(F.col("score") >= least)
+
+
+def _total(df: DataFrame, c: Column) -> int:
+    return df.agg(F.sum(c)).first()[0] or 0
+
+
 def similar_names(left: DataFrame, right: DataFrame, least: float, within: str | None = None) -> DataFrame:
     """(l, r, score) of all pairs of distinct names (column ``name``) with Dice of at least ``least``, equal ones too; with
     ``within``, a column of both sides that comes first in the result, only pairs that agree in it.
@@ -26,26 +56,31 @@ def similar_names(left: DataFrame, right: DataFrame, least: float, within: str |
     of them has the n (more than one, unless they are equal). Ordered by how many names have them, rarest first, the two
     rarest that they share lie among the first n - s + 2 bigrams of either. So names meet in pairs of bigrams from such
     prefixes, which are some thousand times rarer than single ones, and only where their lengths allow the score.
+
+    With ``within`` a pair of names is scored once, however many groups have it. Names that many groups share are compared
+    as such, and their pairs looked up in the groups; where that would take more rows than the keys of all groups' names,
+    names meet by key in each group.
     """
     group = [within] if within else []
     distinct = lambda d: d.select(*group, "name").distinct()
-    names = distinct(left).union(distinct(right)).where("length(name) >= 3").select("name").distinct()
-    # the k-th occurrence of a bigram is an item of its own, so multisets become sets
-    grams = names.select("name", F.posexplode(bigrams(F.col("name"))).alias("at", "g"))
-    items = grams.withColumn("k", F.row_number().over(Window.partitionBy("name", "g").orderBy("at"))).select("name", F.concat_ws("#", "g", "k").alias("item"))
-    ranked = items.join(items.groupBy("item").count(), "item")
-    n = F.length("name") - 1
-    keep = (n - F.ceil(n * least / (2 - least) - 1e-9) + 2).cast("int")
-    prefix = ranked.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("count", "item"))).alias("i")).select("name", F.slice(F.col("i.item"), 1, keep).alias("i"))
-    places = F.sequence(F.lit(1), F.size("i"))
-    pairs = F.flatten(F.transform(places, lambda x: F.transform(F.filter(places, lambda y: y > x), lambda y: F.xxhash64(F.element_at("i", x), F.element_at("i", y)))))
-    keys = prefix.select("name", F.explode(pairs).alias("key"), n.alias("n"))
-    a = distinct(left).join(keys, "name").select(*group, F.col("name").alias("l"), "key", F.col("n").alias("m"))
-    b = distinct(right).join(keys, "name").select(*group, F.col("name").alias("r"), "key", "n")
-    near = a.join(b, [*group, "key"]).where(F.least("m", "n") >= F.greatest("m", "n") * (least / (2 - least)) - 1e-9)
-    fuzzy = near.where("l <> r").select(*group, "l", "r").distinct().withColumn("score", dice(F.col("l"), F.col("r"))).where(F.col("score") >= least)
-    same = distinct(left).intersect(distinct(right)).where("name is not null").select(*group, F.col("name").alias("l"), F.col("name").alias("r"), F.lit(1.0).alias("score"))
-    return fuzzy.unionByName(same)
+    left, right = distinct(left), distinct(right)
+    if within:
+        left, right = materialize(left, "names"), materialize(right, "names")
+    same = left.intersect(right).where("name is not null").select(*group, F.col("name").alias("l"), F.col("name").alias("r"), F.lit(1.0).alias("score"))
+    if not within:
+        return _scored(_near(left, right, _keys(left.union(right).distinct(), least), least, []), least).unionByName(same)
+    lone = lambda d: d.select("name").distinct()
+    keys = materialize(_keys(lone(left.union(right)), least), "keys")
+    meet = lambda d, c: lone(d).join(keys, "name").groupBy("key").agg(F.count("*").alias(c))
+    grouped = _total(left.unionAll(right).join(keys.groupBy("name").agg(F.count("*").alias("k")), "name"), F.col("k"))
+    if _total(meet(left, "a").join(meet(right, "b"), "key"), F.col("a") * F.col("b")) <= grouped:
+        pairs = materialize(_scored(_near(lone(left), lone(right), keys, least, []), least), "alike")
+        if _total(left.join(pairs.groupBy(F.col("l").alias("name")).agg(F.count("*").alias("k")), "name"), F.col("k")) <= grouped:
+            met = left.withColumnRenamed("name", "l").join(pairs, "l").join(right.withColumnRenamed("name", "r"), [*group, "r"])
+            return met.select(*group, "l", "r", "score").unionByName(same)
+    near = materialize(_near(left, right, keys, least, group), "near")
+    met = near.join(_scored(near.select("l", "r").distinct(), least), ["l", "r"])
+    return met.select(*group, "l", "r", "score").unionByName(same)
 
 
 def match_company(drafts: DataFrame, companies: DataFrame) -> DataFrame:
@@ -72,19 +107,22 @@ def match_opportunity(drafts: DataFrame, existing: DataFrame) -> DataFrame:
     stands for the first of several; fuzzy is Dice >= 0.80 of lower-case titles, greatest first.
     """
     e = existing.select(*[F.col(c).alias(f"e_{c}") for c in ("id", "posting_url", "dedupe_key", "family_key", "title", "company_id")])
-    tiers = []
+    every = None
     for rank, key in enumerate(("posting_url", "dedupe_key", "family_key"), 1):
         firsts = e.where(f"e_{key} is not null").groupBy(f"e_{key}").agg(F.min("e_id").alias("e_id"))
-        tiers.append(drafts.join(firsts, F.col(key) == F.col(f"e_{key}")).select("draft_id", "e_id", F.lit(rank).alias("tier"), F.lit(1.0).alias("score")))
-    # distinct titles of a company are compared, and stand for their least row
-    titled = e.groupBy("e_company_id", F.lower("e_title").alias("e_name")).agg(F.min("e_id").alias("e_id"))
-    alike = similar_names(drafts.select(F.col("company_id").alias("c"), F.lower("title").alias("name")), titled.select(F.col("e_company_id").alias("c"), F.col("e_name").alias("name")), TITLE_LEAST, "c")
-    fuzzy = drafts.join(alike, (F.col("company_id") == F.col("c")) & (F.lower("title") == F.col("l"))).join(titled, (F.col("c") == F.col("e_company_id")) & (F.col("r") == F.col("e_name")))
-    tiers.append(fuzzy.select("draft_id", "e_id", F.lit(4).alias("tier"), "score"))
-    every = tiers[0]
-    for t in tiers[1:]:
-        every = every.unionByName(t)
-    best = _first(every, "draft_id", F.col("tier"), F.desc("score"), F.col("e_id"))
+        hits = drafts.join(firsts, F.col(key) == F.col(f"e_{key}")).select("draft_id", F.struct(F.lit(rank).alias("tier"), "e_id").alias("hit"))
+        every = hits if every is None else every.unionByName(hits)
+    exact = materialize(every.groupBy("draft_id").agg(F.min("hit").alias("hit")).select("draft_id", "hit.e_id", "hit.tier", F.lit(1.0).alias("score")), "matched")
+    # titles of what no key has matched; distinct titles of a company are compared, and stand for their least row
+    rest = drafts.select("draft_id", F.col("company_id").alias("c"), F.lower("title").alias("l")).where("c is not null and l is not null")
+    rest = materialize(rest.join(exact.select("draft_id"), "draft_id", "left_anti"), "rest")
+    titled = e.select(F.col("e_company_id").alias("c"), F.lower("e_title").alias("r"), "e_id").join(rest.select("c").distinct(), "c", "left_semi")
+    titled = materialize(titled.groupBy("c", "r").agg(F.min("e_id").alias("e_id")), "titled")
+    alike = similar_names(rest.withColumnRenamed("l", "name"), titled.withColumnRenamed("r", "name"), TITLE_LEAST, "c")
+    # the best for each title of a company, before its drafts come in
+    best = _first(alike.join(titled, ["c", "r"]), ["c", "l"], F.desc("score"), F.col("e_id"))
+    fuzzy = rest.join(best, ["c", "l"]).select("draft_id", "e_id", F.lit(4).alias("tier"), "score")
+    best = exact.unionByName(_first(fuzzy, "draft_id", F.desc("score"), F.col("e_id")))
     kind = tier_name(F.col("tier"))
     return drafts.select("draft_id").join(best, "draft_id", "left").select("draft_id", F.coalesce(kind, F.lit("none")).alias("kind"), F.col("e_id").alias("opportunity_id"), F.when(F.col("tier") == 4, F.col("score")).alias("score"))
 

@@ -55,8 +55,8 @@ def bridge(postings: DataFrame, opportunities: DataFrame) -> DataFrame:
     open_ = opportunities.where(~F.col("status").isin(*MATCHABLE_NOT))
     keyed = keyed_drafts(postings)
     found = match_opportunity(keyed.select("draft_id", "posting_url", "dedupe_key", "family_key", "title", "company_id"), open_)
-    e = open_.select(F.col("id").alias("__id"), F.struct("*").alias("e"))
-    j = keyed.withColumn("d", F.struct("*")).join(found.select(F.col("draft_id").alias("__d"), "kind", "opportunity_id"), F.col("draft_id") == F.col("__d")).join(e, F.col("opportunity_id") == F.col("__id"), "left")
+    e = open_.select(F.col("id").alias("__id"), F.struct("status", "review_status", "public_safe", *FLAGGED).alias("e"))
+    j = keyed.select("identity_key", "draft_id", "dedupe_key", F.struct("score", "company_kind", "material_changed", *FLAGGED).alias("d")).join(found.select(F.col("draft_id").alias("__d"), "kind", "opportunity_id"), F.col("draft_id") == F.col("__d")).join(e, F.col("opportunity_id") == F.col("__id"), "left")
     exact, none = F.col("kind").isin("same_url", "strict_key"), F.col("kind") == "none"
     touch = exact & ~may_alter(F.col("e.status"), F.col("e.review_status"), F.col("e.public_safe"))
     enough = F.coalesce(F.col("d.score") >= state.THRESHOLD, F.lit(False))

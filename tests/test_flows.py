@@ -438,3 +438,32 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert got == {i: 40 for i in range(41, 91)} | {2: 1, 3: 1, 7: 5, 100: 5} | {i: 200 for i in range(201, 260)}
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_names_of_many_groups_meet_once(spark):
+    rows = [(f"g{i}", n) for i in range(300) for n in ("research intern summer 1998", "research intern summer 1998 ii")]
+    df = spark.createDataFrame(rows, "g string, name string")
+    found = resolve.similar_names(df, df, 0.8, "g")
+    assert found.count() == 1200 and most_rows(found) <= 2400
+
+
+@pytest.mark.parametrize("totals", [(9, 9, 9), (9, 10), (9, 9, 10)])
+def test_every_way_to_names_of_groups(spark, monkeypatch, totals):
+    from tests.test_functions import plain_dice
+
+    rows = {(f"g{i % 7}", f"{a} intern {b}{i % 5}") for i in range(60) for a, b in (("lab", "x"), ("labs", "yy"), ("field", ""))}
+    df = spark.createDataFrame(sorted(rows), "g string, name string")
+    given = iter(totals)
+    monkeypatch.setattr(resolve, "_total", lambda *_: next(given))
+    got = [tuple(r)[:3] for r in resolve.similar_names(df, df.where("g <> 'g3'"), 0.8, "g").collect()]
+    assert next(given, None) is None
+    assert sorted(got) == sorted((g, a, b) for g, a in rows for h, b in rows if g == h != "g3" and (a == b or plain_dice(a, b) >= 0.8))
+
+
+def test_keys_come_before_alike_titles(spark):
+    """A draft that a key has matched isn't compared by title; one of two under one title still gets the alike listing."""
+    columns = "posting_url string, dedupe_key string, family_key string, title string, company_id string"
+    drafts = spark.createDataFrame([("a", "u1", "x", "x", "Lab Intern", "c"), ("b", None, "x", "x", "Lab Intern", "c"), ("d", None, "x", "x", None, "c"), ("e", None, "x", "x", "Lab Intern", None)], "draft_id string, " + columns)
+    e = spark.createDataFrame([(1, "u1", "k", "f", "zzz", "z"), (2, "u2", "k", "f", "lab interns", "c"), (3, "u3", "k", "f", "lab intern", "c"), (4, "u4", "k", "f", "LAB INTERN", "c")], "id bigint, " + columns)
+    got = {r["draft_id"]: (r["kind"], r["opportunity_id"], r["score"]) for r in resolve.match_opportunity(drafts, e).collect()}
+    assert got == {"a": ("same_url", 1, None), "b": ("fuzzy", 3, 1.0), "d": ("none", None, None), "e": ("none", None, None)}
