@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import classify, dates, hashing, score, text, url
 from spindrift.functions.prefill import prefill
-from spindrift.plans.registry import LISTINGS_SQL, NOW, listings, now, query, table
+from spindrift.plans.registry import LISTINGS_SQL, NOW, listings, now, query, spread, table
 
 #: Part names dressed up as messy titles, company names and places; SQL for both engines.
 TITLE = "CASE p_partkey % 6 WHEN 0 THEN '  ' || p_name || ' Intern — Summer 2026 ' WHEN 1 THEN 'R&amp;D ' || p_name || ' (Fall)' WHEN 2 THEN p_name || '/Lab, Winter 2025!' WHEN 3 THEN 'Ingeniería ' || p_name WHEN 4 THEN '<b>' || p_name || '</b> Co-op autumn 1999' ELSE '' END"
@@ -304,7 +304,7 @@ _PASTE = "'Research Intern at Acme ' || p_brand || chr(10) || 'Location: Irvine,
 def prefill_labels(spark, sf_dir):
     p = prefill(F.expr(_PASTE.replace("Acme ' || p_brand", "Acme Brand'")))
     names = ("title", "company", "posting_url", "location", "deadline_text", "paid_guess", "start_date_text")
-    return table(spark, sf_dir, "part").select("p_partkey", p.alias("p")).select("p_partkey", *[F.col(f"p.{n}").alias(n) for n in names])
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", p.alias("p")).select("p_partkey", *[F.col(f"p.{n}").alias(n) for n in names])
 
 
 _AT = "^(.{4,60}?)\\s+at\\s+([A-Z][A-Za-z0-9_&.,'' -]{2,50})$"

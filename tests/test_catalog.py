@@ -55,3 +55,8 @@ def test_entry_runs(spark, data):
 
     assert e.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["prefill_labels"])
+def test_small_files_of_many_rows_get_all_cores(spark, data, name):
+    assert catalog.queries()[name](spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
