@@ -94,6 +94,7 @@ MASTERS = word("graduate degree required|graduate students only|master's degree
 
 
 def _reason(condition: Column, category: str, points: int, text: Column) -> Column:
+    """A reason where ``condition`` holds, else null."""
     return F.when(condition, F.struct(F.lit(category).alias("category"), F.lit(points).alias("points"), text.alias("reason")))
 
 
@@ -129,34 +130,36 @@ def feed_score(title_raw: Column, title: Column, location: Column, department: C
     soon = F.coalesce((end >= now) & ((F.unix_millis(end) - F.unix_millis(now)) / F.lit(86_400_000.0) <= 90), F.lit(False))
     lit = F.lit
     positive = [
-        _reason(strong, "biotech_relevance", 20, q('strong biotech/life-science signal in title: "', title_raw)),
-        _reason(moderate, "biotech_relevance", 10, q('moderate biotech/science signal in title: "', title_raw)),
-        _reason(dept.rlike(DEPARTMENTS) | depts.rlike(DEPARTMENTS), "biotech_relevance", 8, q('biotech/life-science department: "', shown)),
-        _reason(under, "undergrad_access", 15, lit("explicitly mentions undergraduate eligibility")),
-        _reason(recent, "undergrad_access", 8, lit("recent-graduate or entry-level language in description")),
-        _reason(kind == "internship", "role_type", 15, lit("classified as internship")),
-        _reason(kind == "fellowship", "role_type", 12, lit("classified as fellowship")),
-        _reason(kind == "research", "role_type", 8, lit("classified as research role")),
-        _reason(kind == "entry_level", "role_type", 10, lit("classified as entry-level role")),
-        _reason(remote == "remote", "geography", 10, lit("remote-eligible position")),
-        _reason((remote == "hybrid") & nearby, "geography", 6, q('hybrid position in Southern California: "', location)),
-        _reason(~remote.isin("hybrid", "remote") & nearby, "geography", 12, q('Southern California location: "', location)),
-        _reason(soon, "deadline", 5, F.concat(lit("deadline upcoming within 90 days: "), closes.cast("string"))),
+        (strong, "biotech_relevance", 20, q('strong biotech/life-science signal in title: "', title_raw)),
+        (moderate, "biotech_relevance", 10, q('moderate biotech/science signal in title: "', title_raw)),
+        (dept.rlike(DEPARTMENTS) | depts.rlike(DEPARTMENTS), "biotech_relevance", 8, q('biotech/life-science department: "', shown)),
+        (under, "undergrad_access", 15, lit("explicitly mentions undergraduate eligibility")),
+        (recent, "undergrad_access", 8, lit("recent-graduate or entry-level language in description")),
+        (kind == "internship", "role_type", 15, lit("classified as internship")),
+        (kind == "fellowship", "role_type", 12, lit("classified as fellowship")),
+        (kind == "research", "role_type", 8, lit("classified as research role")),
+        (kind == "entry_level", "role_type", 10, lit("classified as entry-level role")),
+        (remote == "remote", "geography", 10, lit("remote-eligible position")),
+        ((remote == "hybrid") & nearby, "geography", 6, q('hybrid position in Southern California: "', location)),
+        (~remote.isin("hybrid", "remote") & nearby, "geography", 12, q('Southern California location: "', location)),
+        (soon, "deadline", 5, F.concat(lit("deadline upcoming within 90 days: "), closes.cast("string"))),
     ]
     negative = [
-        _reason(grad_only, "undergrad_access", -15, lit("description restricts eligibility to graduate students")),
-        _reason(top, "seniority", -25, q('senior-leadership title signal: "', title_raw)),
-        _reason(some, "seniority", -15, q('moderate seniority signal in title: "', title_raw)),
-        _reason(degree, "degree_req", -20, lit("PhD, MD, or postdoc credential required")),
-        _reason(masters, "degree_req", -8, lit("master's degree preferred or required")),
-        _reason(dept.rlike(UNRELATED) | depts.rlike(UNRELATED), "unrelated_dept", -20, q('department not relevant to the field: "', shown)),
-        _reason(missing | unclear, "eligibility", -5, lit("eligibility information is missing or ambiguous")),
-        _reason(_text(url) == "", "link_quality", -10, lit("no application URL available")),
-        _reason(passed, "deadline", -15, F.concat(lit("deadline has passed: "), closes.cast("string"))),
+        (grad_only, "undergrad_access", -15, lit("description restricts eligibility to graduate students")),
+        (top, "seniority", -25, q('senior-leadership title signal: "', title_raw)),
+        (some, "seniority", -15, q('moderate seniority signal in title: "', title_raw)),
+        (degree, "degree_req", -20, lit("PhD, MD, or postdoc credential required")),
+        (masters, "degree_req", -8, lit("master's degree preferred or required")),
+        (dept.rlike(UNRELATED) | depts.rlike(UNRELATED), "unrelated_dept", -20, q('department not relevant to the field: "', shown)),
+        (missing | unclear, "eligibility", -5, lit("eligibility information is missing or ambiguous")),
+        (_text(url) == "", "link_quality", -10, lit("no application URL available")),
+        (passed, "deadline", -15, F.concat(lit("deadline has passed: "), closes.cast("string"))),
     ]
-    plus, minus = _reasons(*positive), _reasons(*negative)
-    points = lambda items: F.aggregate(items, lit(0), lambda s, r: s + r["points"])
-    raw = lit(40) + points(plus) + points(minus)
+    plus, minus = (_reasons(*[_reason(*rule) for rule in rules]) for rules in (positive, negative))
+    # of the conditions, not of the reasons: a query that takes no reasons needn't make them
+    raw = lit(40)
+    for condition, _, points, _ in positive + negative:
+        raw = raw + F.when(condition, points).otherwise(0)
     all_flags = F.array_distinct(F.concat(flags, F.filter(F.array(F.when(missing, "eligibility_missing"), F.when(unclear, "eligibility_ambiguous")), lambda f: f.isNotNull())))
     return F.struct(lit(1).alias("version"), F.least(lit(100), F.greatest(lit(0), raw)).alias("total"), raw.alias("raw_total"), plus.alias("positive"), minus.alias("negative"), all_flags.alias("flags"))
 

@@ -266,7 +266,7 @@ _FEED_SCORE = f"""40 + CASE WHEN {_STRONG} THEN 20 WHEN {_SOME} THEN 10 ELSE 0 E
 
 @query("SELECT p_partkey, CAST(raw AS INT) AS raw_total, CAST(greatest(0, least(100, raw)) AS INT) AS total FROM (SELECT p_partkey, " + _FEED_SCORE + " AS raw FROM (SELECT p_partkey, " + ", ".join(f"{e} AS {n}" for n, e in _FEED.items()) + " FROM part))")
 def score_feed_rules(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", *[F.expr(e).alias(n) for n, e in _FEED.items()])
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", *[F.expr(e).alias(n) for n, e in _FEED.items()])
     none = F.array().cast("array<string>")
     s = score.feed_score(F.col("title_raw"), text.job_title(F.col("title_raw"), full=False), F.col("location"), F.col("department"), none, F.col("kind"), F.col("remote"), F.col("url"), F.col("description"), F.col("closes"), none, now())
     return p.select("p_partkey", s["raw_total"].alias("raw_total"), s["total"].alias("total"))

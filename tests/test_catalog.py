@@ -57,6 +57,11 @@ def test_entry_runs(spark, data):
     assert set(catalog.queries()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["prefill_labels"])
+@pytest.mark.parametrize("name", ["prefill_labels", "score_feed_rules"])
 def test_small_files_of_many_rows_get_all_cores(spark, data, name):
     assert catalog.queries()[name](spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_totals_need_no_reasons(spark, data):
+    plan = catalog.queries()["score_feed_rules"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "geography" not in plan and "aggregate(" not in plan
